@@ -5,16 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
-from ._common import table
+from . import decontaminate, language_id, near_dedup, quality, secrets
+from ._common import id_hash_mod, staged, table
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"))).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    share = id_hash_mod("doc_id", 3)
+    labels = table(spark, sf_dir, "labels").filter("quality IN (0, 1)").select("doc_id", F.col("quality").alias("label"))
+    train = staged(docs.filter(share != 1).join(labels.filter(share != 1), "doc_id"), "quality-train")
+    scored = quality.classify(docs, quality.fit(train))
+    return scored.select("doc_id", F.coalesce(share == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    share = id_hash_mod("doc_id", 4)
+    model = language_id.fit(docs.filter(share != 2))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(share == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_secret_scan": op2_secret_scan,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op10_language_id": op10_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
