@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import mix64, shingle_hashes, staged, word_hashes
@@ -154,8 +154,15 @@ def _is_linked(percent: int):
     return linked
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b of set_id) whose full sets are similar enough; one row per pair."""
+def _sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int, name: str) -> DataFrame:
+    """The whole sets of the classes named by ids(set_id), each read from the document that is its class's member."""
+    of = classes.join(ids, "set_id", "left_semi").select("set_id", F.col("member").alias("doc_id"), "set_key")
+    # Rows that repeat a doc_id with another text are told apart by the set's key.
+    return staged(_sets(docs.join(of, "doc_id").select("set_id", "set_key", "text"), width), name)
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b of set_id) whose registers leave the similarity credible."""
     regs = classes.select("set_id", "n_shingles", "registers")
     likely = (
         pairs.join(regs.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a")), "a")
@@ -163,12 +170,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
         .filter(_is_likely(percent / 100)("r_a", "r_b", "n_a", "n_b"))
         .select("a", "b")
     )
-    likely = staged(likely, "near-candidates")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    ids = classes.join(wanted, "set_id", "left_semi").select("set_id", F.col("member").alias("doc_id"), "set_key")
-    # Rows that repeat a doc_id with another text are told apart by the set's key.
-    texts = docs.join(ids, "doc_id").select("set_id", "set_key", "text")
-    sets = staged(_sets(texts, width), "near-sets")
+    return staged(likely, "near-candidates")
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough; one row per pair."""
     return (
         likely.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("s_b")), "b")
         .join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("s_a")), "a")
@@ -178,6 +184,18 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     )
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(set_id, own): how many shingles of each set stand in no other set of the table (no row for 0)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"set_id": batch["set_id"], "each": [np.frombuffer(x, dtype=np.int64) for x in batch["shingles"]]})
+
+    each = sets.mapInPandas(run, "set_id long, each array<long>").select("set_id", F.explode("each").alias("shingle"))
+    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("set_id")).filter("n = 1")
+    return once.groupBy("set_id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node reachable.
 
@@ -218,20 +236,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     leads = in_bands.groupBy("bucket").agg(F.min("set_id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", "lead")
     shared = staged(in_bands.join(leads, "bucket"), "near-buckets")
     stars = shared.filter("set_id <> lead").select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = staged(_confirmed(stars, classes, docs, width, percent), "near-links")
+    likely = _likely(stars, classes, percent)
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    links = staged(_confirmed(likely, _sets_of(wanted, classes, docs, width, "near-sets"), percent), "near-links")
 
     found = components(links)
     labelled = shared.join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     labelled = staged(labelled.join(mixed, "bucket", "left_semi").filter("set_id <> lead"), "near-mixed")
+    late_sets = _sets_of(labelled.select("set_id").distinct(), classes, docs, width, "near-late-sets")
+    own = staged(_own_shingles(late_sets), "near-own")
+    labelled = labelled.join(own, "set_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     major = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-    minority = labelled.join(major, "bucket").filter("component <> major").select("bucket", F.col("set_id").alias("x"), F.col("component").alias("x_component"), F.col("n_shingles").alias("x_n"))
-    fits: Column = (F.col("component") != F.col("x_component")) & (100 * F.least("n_shingles", "x_n") >= percent * F.greatest("n_shingles", "x_n"))
+    minority = labelled.join(major, "bucket").filter("component <> major").select("bucket", F.col("set_id").alias("x"), F.col("component").alias("x_component"), F.col("n_shingles").alias("x_n"), F.col("own").alias("x_own"))
+    # Own shingles of one set are missing from the other: |A and B| <= |A| - own(A) and |A or B| >= |A| + own(B), and conversely.
+    fits = (
+        (F.col("component") != F.col("x_component"))
+        & (100 * (F.col("n_shingles") - F.col("own")) >= percent * (F.col("n_shingles") + F.col("x_own")))
+        & (100 * (F.col("x_n") - F.col("x_own")) >= percent * (F.col("x_n") + F.col("own")))
+        & (100 * F.least("n_shingles", "x_n") >= percent * F.greatest("n_shingles", "x_n"))
+    )
     others = (
         minority.join(labelled, "bucket").filter(fits)
         .select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b")).distinct()
     )
-    late = staged(_confirmed(others, classes, docs, width, percent), "near-late-links")
+    late = staged(_confirmed(_likely(others, classes, percent), late_sets, percent), "near-late-links")
 
     # From classes to documents: each class is tied to its member, and members carry the smallest ids.
     of_class = classes.select(F.col("set_id"), "member")
