@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, quality, secrets
+from . import ann, decontaminate, language_id, licenses, mixing, near_dedup, packing, quality, secrets, warc
 from ._common import id_hash_mod, staged, table
 
 
@@ -20,6 +20,19 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"))).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
+#: Target weights of the sources in the mixture; the other sources share the rest.
+WEIGHTS, OTHER_WEIGHT = {"src0": 4, "src1": 3, "src2": 2, "src3": 2, "src4": 1}, 8
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), WEIGHTS, OTHER_WEIGHT)
+    return mixed.select("doc_id", "source", "mix_group", "mix_block", "mix_slot", "mix_offset")
+
+
+def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     share = id_hash_mod("doc_id", 3)
@@ -29,10 +42,26 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(share == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["license"], s["start"], s["end"], s["missing"])), ",")
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["license"]))), ",")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_licenses"), names.alias("licenses"), spans.alias("spans"))
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "refers_to")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     share = id_hash_mod("doc_id", 4)
@@ -42,11 +71,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_decontamination": op1_decontamination,
-    "op2_secret_scan": op2_secret_scan,
-    "op5_quality_classifier": op5_quality_classifier,
-    "op10_language_id": op10_language_id,
-    "op8_minhash_near_dedup": op8_minhash_near_dedup,
-}
-
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_secret_scan, op3_source_mixing, op4_token_packing, op5_quality_classifier,
+        op6_license_scan, op7_warc_round_trip, op8_minhash_near_dedup, op9_nearest_neighbours, op10_language_id,
+    )
+}
+
+#: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
