@@ -113,7 +113,8 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
     many = asked.count()
     salts = max(1, -(-int(many * min(1.0, (2 * window + block) / n)) // 20_000))
     queries = ranked.join(asked, "point").select("curve", "query_id", "rank", "raw", F.explode(touching).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(salts)).alias("salt"))
-    targets = ranked.select("curve", F.floor(F.col("rank") / block).alias("block"), "rank", "point", "raw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    again = ranked.toDF(*ranked.columns)  # columns of its own, for the cogroup
+    targets = again.select("curve", F.floor(F.col("rank") / block).alias("block"), "rank", "point", "raw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
 
     def nearest(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "point": [], "score": []}
