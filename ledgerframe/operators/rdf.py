@@ -12,8 +12,10 @@ from ..sources.adapter import ReportSet
 TYPE = "rdf:type"
 
 
-def _rule(df: DataFrame, s: Column, p: str, o: Column, kind: str, datatype: str | None = None) -> DataFrame:
-    return df.select(s.cast("string").alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("o_datatype")).filter("s IS NOT NULL AND o IS NOT NULL")
+def _rules(df: DataFrame, s: Column, *rules: tuple) -> DataFrame:
+    """Triples of one pass over df: rules are (predicate, object, kind, datatype or nothing)."""
+    each = [F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(more[0] if more else None).cast("string").alias("o_datatype")) for p, o, kind, *more in rules]
+    return df.select(s.cast("string").alias("s"), F.explode(F.array(*each)).alias("t")).select("s", "t.*").filter("s IS NOT NULL AND o IS NOT NULL")
 
 
 def triples(r: ReportSet) -> DataFrame:
@@ -29,18 +31,17 @@ def triples(r: ReportSet) -> DataFrame:
     periods = r.facts.select("period_id", "period_type", "start_date", "end_date").distinct()
     units = r.facts.filter("unit_id IS NOT NULL").select("unit_id").distinct()
     shown = dims.select("report_id", "axis", "member").distinct()
+    net = F.concat(lit("network:"), c("seq").cast("string"))
+    unit = F.concat(lit("unit:"), c("unit_id"))
     rules = [
-        _rule(r.reports, report(c("report_id")), TYPE, lit("Report"), "iri"), _rule(r.reports, report(c("report_id")), "reportedBy", F.concat(lit("entity:"), c("entity_cik").cast("string")), "iri"), _rule(r.reports, report(c("report_id")), "fiscalYear", c("fiscal_year"), "literal", "integer"),
-        _rule(r.concepts, element(c("qname")), TYPE, lit("Element"), "iri"), _rule(r.concepts, element(c("qname")), "qname", c("qname"), "literal"), _rule(r.concepts, element(c("qname")), "label", c("label"), "literal"),
-        _rule(r.concepts, element(c("qname")), "periodType", c("period_type"), "literal"), _rule(r.concepts, element(c("qname")), "balance", c("balance"), "literal"), _rule(r.concepts.filter("is_abstract"), element(c("qname")), "abstract", lit("true"), "literal", "boolean"),
-        _rule(periods, period, TYPE, F.initcap("period_type"), "iri"), _rule(periods, period, "start", c("start_date"), "literal", "date"), _rule(periods, period, "end", c("end_date"), "literal", "date"),
-        _rule(units, F.concat(lit("unit:"), c("unit_id")), TYPE, lit("Unit"), "iri"), _rule(units, F.concat(lit("unit:"), c("unit_id")), "measure", c("unit_id"), "literal"),
-        _rule(r.facts, fact, TYPE, lit("Fact"), "iri"), _rule(r.facts, fact, "inReport", report(c("report_id")), "iri"), _rule(r.facts, fact, "element", element(c("concept")), "iri"), _rule(r.facts, fact, "period", period, "iri"),
-        _rule(r.facts, fact, "unit", F.concat(lit("unit:"), c("unit_id")), "iri"), _rule(r.facts, fact, "value", c("numeric_value").cast("decimal(38,2)"), "literal", "decimal"), _rule(r.facts, fact, "decimals", c("decimals"), "literal"),
-        _rule(dims, fact, "dimension", dim, "iri"), _rule(shown, dim, TYPE, lit("Dimension"), "iri"), _rule(shown, dim, "axis", element(c("axis")), "iri"), _rule(shown, dim, "member", element(c("member")), "iri"),
-        _rule(r.networks, F.concat(lit("network:"), c("seq").cast("string")), TYPE, lit("Network"), "iri"), _rule(r.networks, F.concat(lit("network:"), c("seq").cast("string")), "role", c("role_uri"), "iri"), _rule(r.networks, F.concat(lit("network:"), c("seq").cast("string")), "definition", c("definition"), "literal"),
-        _rule(r.arcs, arc, TYPE, lit("Association"), "iri"), _rule(r.arcs, arc, "inNetwork", F.concat(lit("network:"), c("network_seq").cast("string")), "iri"), _rule(r.arcs, arc, "from", element(c("from_qname")), "iri"), _rule(r.arcs, arc, "to", element(c("to_qname")), "iri"),
-        _rule(r.arcs, arc, "order", c("arc_order"), "literal", "double"), _rule(r.arcs, arc, "weight", c("weight"), "literal", "double"),
+        _rules(r.reports, report(c("report_id")), (TYPE, lit("Report"), "iri"), ("reportedBy", F.concat(lit("entity:"), c("entity_cik").cast("string")), "iri"), ("fiscalYear", c("fiscal_year"), "literal", "integer")),
+        _rules(r.concepts, element(c("qname")), (TYPE, lit("Element"), "iri"), ("qname", c("qname"), "literal"), ("label", c("label"), "literal"), ("periodType", c("period_type"), "literal"), ("balance", c("balance"), "literal"), ("abstract", F.when(c("is_abstract"), "true"), "literal", "boolean")),
+        _rules(periods, period, (TYPE, F.initcap("period_type"), "iri"), ("start", c("start_date"), "literal", "date"), ("end", c("end_date"), "literal", "date")),
+        _rules(units, unit, (TYPE, lit("Unit"), "iri"), ("measure", c("unit_id"), "literal")),
+        _rules(r.facts, fact, (TYPE, lit("Fact"), "iri"), ("inReport", report(c("report_id")), "iri"), ("element", element(c("concept")), "iri"), ("period", period, "iri"), ("unit", unit, "iri"), ("value", c("numeric_value").cast("decimal(38,2)"), "literal", "decimal"), ("decimals", c("decimals"), "literal")),
+        _rules(dims, fact, ("dimension", dim, "iri")), _rules(shown, dim, (TYPE, lit("Dimension"), "iri"), ("axis", element(c("axis")), "iri"), ("member", element(c("member")), "iri")),
+        _rules(r.networks, net, (TYPE, lit("Network"), "iri"), ("role", c("role_uri"), "iri"), ("definition", c("definition"), "literal")),
+        _rules(r.arcs, arc, (TYPE, lit("Association"), "iri"), ("inNetwork", F.concat(lit("network:"), c("network_seq").cast("string")), "iri"), ("from", element(c("from_qname")), "iri"), ("to", element(c("to_qname")), "iri"), ("order", c("arc_order"), "literal", "double"), ("weight", c("weight"), "literal", "double")),
     ]
     out = rules[0]
     for x in rules[1:]:
@@ -62,12 +63,18 @@ def natural_key(text: Column) -> Column:
 
 
 def consolidated_facts(t: DataFrame) -> DataFrame:
-    """(concept, end, value, start, unit) of facts without a dimension: the pattern joined property by property."""
-    get = lambda p, name: t.filter(F.col("p") == p).select("s", F.col("o").alias(name))
-    via = lambda df, key, p, name, how="inner": df.join(get(p, name).withColumnRenamed("s", key), key, how)
-    facts = t.filter((F.col("p") == TYPE) & (F.col("o") == "Fact")).select("s").join(get("dimension", "_d").select("s"), "s", "left_anti")
-    rows = facts.join(get("element", "e"), "s").join(get("period", "pd"), "s").join(get("value", "value"), "s", "left").join(get("unit", "unit"), "s", "left")
-    return via(via(via(rows, "e", "qname", "concept"), "pd", "end", "end"), "pd", "start", "start", "left").select("concept", "end", "value", "start", "unit")
+    """(concept, end, value, start, unit) of facts without a dimension. Properties of a subject are gathered in one pass, not by a join each."""
+    def subjects(kind: str | list[str], *paths: str, none: str | None = None) -> DataFrame:
+        kinds = [kind] if isinstance(kind, str) else kind
+        rows = t.filter(F.col("p").isin(TYPE, *paths, *([none] if none else [])))
+        of = [F.max(F.when(F.col("p") == p, F.col("o"))).alias(f"_{p}") for p in paths]
+        found = rows.groupBy("s").agg(F.max(F.when(F.col("p") == TYPE, F.col("o"))).alias("_kind"), F.count_if(F.col("p") == (none or "")).alias("_none"), *of)
+        return found.filter(F.col("_kind").isin(*kinds) & (F.col("_none") == 0)).drop("_kind", "_none")
+
+    facts = subjects("Fact", "element", "period", "value", "unit", none="dimension")
+    elements = subjects("Element", "qname").select(F.col("s").alias("_element"), F.col("_qname").alias("concept"))
+    periods = subjects(["Duration", "Instant"], "start", "end").select(F.col("s").alias("_period"), F.col("_start").alias("start"), F.col("_end").alias("end"))
+    return facts.join(elements, "_element").join(periods, "_period").select("concept", "end", F.col("_value").alias("value"), "start", F.col("_unit").alias("unit"))
 
 
 #: Shapes: class, path, rule (min, max count; node kind) and its argument.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import periods, text, values
 from .operators import blocks, calculations, facts, graph, rdf, texts, walks
-from .sources import adapter, documents
+from .sources import documents
 from .sources.adapter import report_set
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _two(c: str):
-    return F.round(c, 2).alias(c)
+    return (F.round(c, 2) + 0.0).alias(c)  # no negative zero
 
 
 @query
@@ -388,12 +388,3 @@ def sgml_documents(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consolidated annual figures by concept and year, newest first, most precise duplicate kept."""
     return fact_grid_consolidated(spark, sf_dir)
-
-
-def oracle() -> dict[str, str]:
-    from .oracles import ORACLES
-
-    return {k: v for k, v in ORACLES.items() if k in QUERIES}
-
-
-adapter_sql = adapter.oracle
