@@ -196,6 +196,79 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
     return once.groupBy("set_id").agg(F.count(F.lit(1)).alias("own"))
 
 
+#: Components of up to so many candidate members are compared pair by pair, larger ones in blocks of about BLOCK sets.
+SMALL, BLOCK = 4, 512
+
+
+def _late_links(labelled: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components that share a bucket, enough of them to join what is linked.
+
+    labelled has a row (bucket, set_id, component, n_shingles, own) for each member of a mixed bucket. Each member outside its bucket's
+    largest component is compared with the other components of the bucket: with their few members one by one, with large components in blocks.
+    """
+    # Own shingles of one set are missing from the other: |A and B| <= |A| - own(A) and |A or B| >= |A| + own(B), and conversely.
+    spare = 100 * (F.col("n_shingles") - F.col("own")) - percent * F.col("n_shingles")
+    by_component = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("least_own"), F.max(spare).alias("spare"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    major = by_component.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
+    minority = labelled.join(major, "bucket").filter("component <> major").select("bucket", F.col("set_id").alias("x"), F.col("component").alias("x_component"), F.col("n_shingles").alias("x_n"), spare.alias("x_spare"), F.col("own").alias("x_own"))
+    possible = (
+        (F.col("component") != F.col("x_component")) & (F.col("x_spare") >= percent * F.col("least_own")) & (F.col("spare") >= percent * F.col("x_own"))
+        & (100 * F.col("x_n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("x_n"))
+    )
+    targets = staged(minority.join(by_component, "bucket").filter(possible).select("x", "component").distinct(), "near-targets")
+    members = labelled.select("set_id", "component").distinct()
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members")).join(targets.groupBy("component").agg(F.count(F.lit(1)).alias("asking")), "component")
+    sizes = sizes.select("component", "members", F.ceil(F.col("members") / BLOCK).alias("m_blocks"), F.ceil(F.col("asking") / BLOCK).alias("x_blocks"))
+    few, many = sizes.filter(F.col("members") <= SMALL), sizes.filter(F.col("members") > SMALL)
+    pairs = targets.join(few, "component").join(members, "component").select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b")).distinct()
+    single = _confirmed(_likely(pairs, classes, percent), sets, percent)
+
+    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(name)
+    asking = targets.join(many, "component").select("component", "x", F.pmod(F.xxhash64(F.lit(3), "x"), F.col("x_blocks")).alias("xb"), every("m_blocks", "mb"))
+    asking = asking.join(sets.select(F.col("set_id").alias("x"), F.col("shingles").alias("x_set")), "x")
+    asked = members.join(many, "component").select("component", "set_id", F.pmod(F.xxhash64(F.lit(3), "set_id"), F.col("m_blocks")).alias("mb"), every("x_blocks", "xb"))
+    asked = asked.join(sets, "set_id")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(left) and len(right):
+            x, y = ([np.frombuffer(v, dtype=np.uint64) for v in col] for col in (left["x_set"], right["shingles"]))
+            linked = 100 * (shared := shared_sizes(x, y)) >= percent * (np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - shared)
+            rows = np.flatnonzero(linked.any(axis=1))
+            a, b = left["x"].to_numpy()[rows], right["set_id"].to_numpy()[linked[rows].argmax(axis=1)]
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    keys = ["component", "xb", "mb"]
+    blocks = asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+    return single.union(blocks)
+
+
+def shared_sizes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets (sorted distinct hashes), as a matrix product over the shingles that both lists hold."""
+    all_x, all_y = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(all_x, all_y)
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    row_x, row_y = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y))
+
+    def places(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        known = both[at] == values if len(both) else np.zeros(len(values), dtype=bool)
+        order = np.argsort(at[known], kind="stable")
+        return at[known][order], rows[known][order]
+
+    (ax, rx), (ay, ry) = places(all_x, row_x), places(all_y, row_y)
+    for low in range(0, len(both), 4096):
+        high = low + 4096
+        m = []
+        for at, rows, n in ((ax, rx, len(x)), (ay, ry, len(y))):
+            cut = slice(*np.searchsorted(at, [low, high]))
+            part = np.zeros((n, min(4096, len(both) - low)), dtype=np.float32)
+            part[rows[cut], at[cut] - low] = 1
+            m.append(part)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node reachable.
 
@@ -247,20 +320,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     late_sets = _sets_of(labelled.select("set_id").distinct(), classes, docs, width, "near-late-sets")
     own = staged(_own_shingles(late_sets), "near-own")
     labelled = labelled.join(own, "set_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    major = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-    minority = labelled.join(major, "bucket").filter("component <> major").select("bucket", F.col("set_id").alias("x"), F.col("component").alias("x_component"), F.col("n_shingles").alias("x_n"), F.col("own").alias("x_own"))
-    # Own shingles of one set are missing from the other: |A and B| <= |A| - own(A) and |A or B| >= |A| + own(B), and conversely.
-    fits = (
-        (F.col("component") != F.col("x_component"))
-        & (100 * (F.col("n_shingles") - F.col("own")) >= percent * (F.col("n_shingles") + F.col("x_own")))
-        & (100 * (F.col("x_n") - F.col("x_own")) >= percent * (F.col("x_n") + F.col("own")))
-        & (100 * F.least("n_shingles", "x_n") >= percent * F.greatest("n_shingles", "x_n"))
-    )
-    others = (
-        minority.join(labelled, "bucket").filter(fits)
-        .select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b")).distinct()
-    )
-    late = staged(_confirmed(_likely(others, classes, percent), late_sets, percent), "near-late-links")
+    late = staged(_late_links(staged(labelled, "near-late-rows"), late_sets, classes, percent), "near-late-links")
 
     # From classes to documents: each class is tied to its member, and members carry the smallest ids.
     of_class = classes.select(F.col("set_id"), "member")
