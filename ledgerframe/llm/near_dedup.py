@@ -306,8 +306,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     width_bytes = 2 * rows
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 1 + i * width_bytes, width_bytes)) for i in range(bands)])
     in_bands = classes.select("set_id", "member", "n_shingles", F.explode(keys).alias("bucket"))
-    leads = in_bands.groupBy("bucket").agg(F.min("set_id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", "lead")
-    shared = staged(in_bands.join(leads, "bucket"), "near-buckets")
+    sizes = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = staged(in_bands.join(sizes, "bucket"), "near-buckets")
+    # The class that shares most leads its buckets: the middle of a group of near copies leads nearly all of them, so that a copy has few leaders.
+    company = shared.groupBy("set_id").agg(F.sum("size").alias("company"))
+    shared = shared.join(company, "set_id")
+    leads = shared.groupBy("bucket").agg(F.max_by("set_id", F.struct("company", "set_id")).alias("lead"))
+    shared = staged(shared.join(leads, "bucket").select("bucket", "set_id", "member", "n_shingles", "lead"), "near-led-buckets")
     stars = shared.filter("set_id <> lead").select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct()
     likely = _likely(stars, classes, percent)
     wanted = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
