@@ -26,7 +26,7 @@ def split_camel(name: Column) -> Column:
 def label_from_name(qname: Column) -> Column:
     """A readable label of an element name; a TextBlock suffix goes first."""
     local = F.substring_index(qname, ":", -1)
-    return split_camel(F.regexp_replace(local, "(TextBlock|PolicyTextBlock|TableTextBlock)$", ""))
+    return split_camel(F.regexp_replace(local, "TextBlock$", ""))
 
 
 def local_name(qname: Column) -> Column:

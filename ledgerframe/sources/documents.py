@@ -74,7 +74,7 @@ def oim_document(facts: DataFrame) -> DataFrame:
     dims = F.map_from_entries(F.transform("dims", lambda d: F.struct(d["axis"], d["member"])))
     core = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in (("concept", "concept"), ("period", "period"), ("unit", "unit"), ("language", "language"))]), lambda e: e["v"].isNotNull()))
     entry = F.struct("value", "decimals", F.map_concat(core, dims).alias("dimensions"))
-    body = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("key").alias("k"), entry.alias("v")))), lambda e: F.struct(e["k"], e["v"])))
+    body = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("key").alias("k"), entry.alias("v"))), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)), lambda e: F.struct(e["k"], e["v"])))
     return f.groupBy("report_id").agg(body.alias("facts")).select("report_id", F.to_json(F.struct(F.struct(F.lit("https://xbrl.org/2021/xbrl-json").alias("documentType")).alias("documentInfo"), "facts")).alias("json"))
 
 
