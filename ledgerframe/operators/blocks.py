@@ -205,3 +205,24 @@ def find_network(networks: DataFrame, classified: DataFrame, wanted: str) -> Dat
     )
     hits = own.withColumn("tier", tier).filter("tier IS NOT NULL")
     return hits.withColumn("best", F.min("tier").over(W.partitionBy())).filter("tier = best").select("seq", "role_uri", "definition", "statement", "tier")
+
+
+def concept_roles(networks: DataFrame, arcs: DataFrame, most: int = 3) -> DataFrame:
+    """(concept, names): the first presentation networks that cite each concept, by definition or else role."""
+    shown = networks.filter("kind = 'presentation'").select(F.col("seq").alias("network_seq"), F.coalesce("definition", "role_uri").alias("name"))
+    cites = arcs.join(shown, "network_seq").select("network_seq", "name", F.explode(F.array("from_qname", "to_qname")).alias("concept")).distinct()
+    first = cites.withColumn("_n", F.row_number().over(W.partitionBy("concept").orderBy("network_seq"))).filter(F.col("_n") <= most)
+    return first.groupBy("concept").agg(F.transform(F.array_sort(F.collect_list(F.struct("network_seq", "name"))), lambda x: x["name"]).alias("names"))
+
+
+def group_tree(blocks: DataFrame) -> DataFrame:
+    """(role_uri, head, place, member_place): sections under the head of their family, the first of it; heads stand under themselves."""
+    shown = blocks.filter(F.array_contains("kinds", "presentation"))
+    family = W.partitionBy(F.lower("family"), F.lower(F.coalesce("category", F.lit("")))).orderBy("place")
+    return shown.select("role_uri", F.first("role_uri").over(family).alias("head"), "place", F.row_number().over(family).alias("member_place"))
+
+
+def block_footing(footed: DataFrame, columns: DataFrame) -> DataFrame:
+    """(report_id, network_seq, foots, checked, differences) of judged roll-ups(report_id, network_seq, period_id, foots, difference) over the columns(report_id, period_id) shown."""
+    shown = footed.join(columns.select("report_id", "period_id").distinct(), ["report_id", "period_id"], "left_semi")
+    return shown.groupBy("report_id", "network_seq").agg(F.bool_and("foots").alias("foots"), F.count(F.lit(1)).alias("checked"), F.array_sort(F.collect_list(F.when(~F.col("foots"), F.struct("period_id", "difference")))).alias("differences"))

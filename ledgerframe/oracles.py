@@ -112,6 +112,14 @@ ORACLES: dict[str, str] = {
     "classify_networks": f"""{_WITH} SELECT seq, role_uri, CASE WHEN lower(coalesce(definition, '') || role_uri) LIKE '%parenthetical%' OR definition LIKE '%- Disclosure -%' THEN NULL WHEN lower(definition) LIKE '%balance sheet%' THEN 'balance_sheet' WHEN lower(definition) LIKE '%statements of income%' THEN 'income_statement' END AS statement FROM networks WHERE kind = 'presentation'""",
     "disclosure_families": f"""{_WITH}, {_TITLES}, shown AS (SELECT * FROM blocks WHERE list_contains(kinds, 'presentation')), lv AS (SELECT lower(family) AS k, lower(coalesce(category, '')) AS c, string_agg(level || '=' || n, ',' ORDER BY level || '=' || n) AS levels FROM (SELECT family, category, level, count(*) AS n FROM shown GROUP BY ALL) GROUP BY 1, 2)
       SELECT arg_min(family, place) AS family, arg_min(category, place) AS category, count(*) AS blocks, any_value(levels) AS levels FROM shown JOIN lv ON k = lower(family) AND c = lower(coalesce(category, '')) GROUP BY k, c""",
+    "concept_roles": f"""{_WITH}, cites AS (SELECT DISTINCT a.network_seq, coalesce(n.definition, n.role_uri) AS name, unnest([from_qname, to_qname]) AS concept FROM arcs a JOIN networks n ON n.seq = a.network_seq WHERE n.kind = 'presentation')
+      SELECT concept, string_agg(name, '; ' ORDER BY network_seq) AS names FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY network_seq) AS p FROM cites) WHERE p <= 3 GROUP BY concept""",
+    "group_tree": f"""{_WITH}, {_TITLES}, shown AS (SELECT *, lower(family) || '|' || lower(coalesce(category, '')) AS k FROM blocks WHERE list_contains(kinds, 'presentation'))
+      SELECT role_uri, arg_min(role_uri, place) OVER (PARTITION BY k) AS head, place, row_number() OVER (PARTITION BY k ORDER BY place) AS member_place FROM shown""",
+    "block_footing": f"""{_WITH}, {_BEST}, {_TOTAL}, {_CALC}, uses AS (SELECT report_id, period_id, end_date, coalesce(date_diff('day', start_date, end_date), 0) AS span, count(DISTINCT concept) AS uses FROM facts WHERE dims_key = '' GROUP BY ALL),
+      run AS (SELECT *, row_number() OVER w AS place, sum(uses * 36) OVER w AS total FROM uses WINDOW w AS (PARTITION BY report_id ORDER BY end_date DESC, span DESC, uses DESC, period_id)), shown AS (SELECT report_id, period_id FROM run WHERE total <= 16000 OR place <= 8),
+      judged AS (SELECT *, abs(reported - computed) <= {_TOL.format('decimals')} AS foots FROM rolled WHERE reported IS NOT NULL AND present > 0)
+      SELECT report_id, network_seq, bool_and(foots) AS foots, count(*) AS checked, count(*) FILTER (NOT foots) AS differences FROM judged SEMI JOIN shown USING (report_id, period_id) GROUP BY 1, 2""",
     "hypercube_members": """WITH RECURSIVE arcs AS (""" + adapter.ARCS + """), down AS (SELECT to_qname AS member, 1 AS depth, [seq] AS place, ['tb:SegmentDomain', to_qname] AS trail FROM arcs WHERE arcrole = 'domain-member' AND from_qname = 'tb:SegmentDomain'
       UNION ALL SELECT a.to_qname, d.depth + 1, list_append(d.place, a.seq), list_append(d.trail, a.to_qname) FROM down d JOIN arcs a ON a.arcrole = 'domain-member' AND a.from_qname = d.member WHERE NOT list_contains(d.trail, a.to_qname))
       SELECT 'http://tb/role/RevenueDetails' AS role_uri, 'tb:RevenueTable' AS cube, 'tb:SegmentAxis' AS axis, member, row_number() OVER (ORDER BY min(depth), min(place)) AS place FROM down GROUP BY member""",

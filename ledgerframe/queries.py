@@ -211,6 +211,25 @@ def disclosure_families(spark, sf_dir):
     return blocks.disclosure_families(blocks.plan_blocks(report_set(spark, sf_dir).networks)).select("family", "category", "blocks", "levels")
 
 
+@query
+def concept_roles(spark, sf_dir):
+    r = report_set(spark, sf_dir)
+    return blocks.concept_roles(r.networks, r.arcs).select("concept", F.array_join("names", "; ").alias("names"))
+
+
+@query
+def group_tree(spark, sf_dir):
+    tree = blocks.group_tree(blocks.plan_blocks(report_set(spark, sf_dir).networks))
+    return tree.select("role_uri", "head", F.col("place").cast("long").alias("place"), F.col("member_place").cast("long").alias("member_place"))
+
+
+@query
+def block_footing(spark, sf_dir):
+    r = report_set(spark, sf_dir)
+    judged = calculations.footing(r.facts, r.networks, r.arcs)
+    return blocks.block_footing(judged, walks.column_budget(r.facts)).select("report_id", "network_seq", "foots", "checked", F.size("differences").cast("long").alias("differences"))
+
+
 @query
 def hypercube_members(spark, sf_dir):
     r = report_set(spark, sf_dir)
