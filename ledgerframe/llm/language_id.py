@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,9 +116,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     kept = docs.drop("lang_pred", "score")
     schema = kept.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # the other columns pass through as they are
         for batch in batches:
-            batch["lang_pred"], batch["score"] = score_texts(list(batch[text]), langs, shared.value)
-            yield batch
+            found, sure = score_texts(batch.column(text).to_pylist(), langs, shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)

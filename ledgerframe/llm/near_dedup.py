@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,18 +100,19 @@ def sketches(docs: DataFrame, width: int = 5, rows: int = ROWS, bands: int = BAN
     """(doc_id, n_shingles, set_key, registers): set_key is a 128-bit digest of the whole set, registers little-endian uint16."""
     m = rows * bands
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(m)
         for batch in batches:
             sizes, keys, regs = [], [], []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 s = shingles_of(text, width)
                 sizes.append(len(s))
                 keys.append(set_key(s))
                 regs.append(registers(s, m, seeds).tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": np.array(sizes, dtype=np.int64), "set_key": keys, "registers": regs})
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_shingles long, set_key binary, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:

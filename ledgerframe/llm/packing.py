@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return rows
 
 
-def _packed(ids: list[np.ndarray], owner: list[tuple[int, int]], row_tokens: int, separator: int, kind: np.dtype, number: int) -> pd.DataFrame:
+def _packed(ids: list[np.ndarray], owner: list[tuple[int, int]], row_tokens: int, separator: int, kind: np.dtype, number: int) -> pa.RecordBatch:
     out = []
     for row in best_fit_decreasing(np.array([len(x) for x in ids]), row_tokens):
         whole = np.full(row_tokens, separator, dtype=kind)
@@ -80,13 +81,15 @@ def _packed(ids: list[np.ndarray], owner: list[tuple[int, int]], row_tokens: int
         ends = np.cumsum([0, *lengths]).astype(np.int32)
         whole[: ends[-1]] = np.concatenate([ids[i] for i in row])
         out.append((number + len(out), int(ends[-1]), len(row), whole.tobytes(), ends, ends[:-1], [owner[i][0] for i in row], [owner[i][1] for i in row]))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), ints, ints, longs, ints)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, batch_tokens: int = BATCH_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
     """Packed rows (SCHEMA) of docs(doc_id, text). Piece p of a document holds its tokens from p * row_tokens on."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoding(vocabulary)
         separator = code.n_vocab
         kind = np.dtype("<u2" if separator < 1 << 16 else "<u4")
@@ -94,22 +97,22 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, batch_tokens: int = BATC
         owner: list[tuple[int, int]] = []
         total, number = 0, TaskContext.get().partitionId() << 33
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text is None:
                     continue
                 whole = np.array([*code.encode_ordinary(text), separator], dtype=kind)
-                doc = -1 if pd.isna(doc) else int(doc)
+                doc = -1 if doc is None else doc
                 for p in range(0, len(whole), row_tokens):
                     ids.append(whole[p : p + row_tokens])
                     owner.append((doc, p // row_tokens))
                 total += len(whole)
                 if total >= batch_tokens:
                     yield (out := _packed(ids, owner, row_tokens, separator, kind, number))
-                    ids, owner, total, number = [], [], 0, number + len(out)
+                    ids, owner, total, number = [], [], 0, number + out.num_rows
         if ids:
             yield _packed(ids, owner, row_tokens, separator, kind, number)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
 def matrix(rows: list, row_tokens: int = ROW_TOKENS, wide: bool = False) -> np.ndarray:

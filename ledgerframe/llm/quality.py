@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,9 +187,9 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFra
     kept = docs.drop("score")
     schema = kept.withColumn("score", F.lit(0.0)).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # the other columns pass through as they are
         for batch in batches:
-            batch["score"] = score_texts(list(batch["text"]), shared.value)
-            yield batch
+            scores = score_texts(batch.column("text").to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)

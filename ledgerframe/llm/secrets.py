@@ -17,7 +17,7 @@ import os
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,17 +87,19 @@ def _joined(spans: list[tuple[int, str, int]]) -> str:
 def scan(docs: DataFrame, ratio: float = 2.2, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per row of docs(doc_id, text): spans array<struct<kind, start, end>> by start, kind as in KINDS."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 more = random_spans(text, base, ratio, vocabulary)
                 spans.append([{"kind": k, "start": a, "end": b} for a, k, b in sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "spans": spans})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind_of)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, spans array<struct<kind string, start int, end int>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spans array<struct<kind string, start int, end int>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -114,10 +116,12 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", ratio: float = 2.2, vocabula
     """docs with every span of its text replaced by mask; other columns as they are."""
     schema = docs.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = schema.names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch["text"]:
+            for text in batch.column(place).to_pylist():
                 if text:
                     base = base_spans(text)
                     parts, at = [], 0
@@ -127,7 +131,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", ratio: float = 2.2, vocabula
                         at = max(at, b)
                     text = "".join([*parts, text[at:]])
                 out.append(text)
-            batch["text"] = out
-            yield batch
+            columns = list(batch.columns)
+            columns[place] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
