@@ -21,6 +21,8 @@ from ledgerframe.llm.queries import OTHER_WEIGHT, WEIGHTS
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter go."""
     model = language_id.fit(docs)
+    if not model[0]:  # no row names a language: only texts without a letter are undetermined
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language_id.identify(docs, model)
     return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
 
