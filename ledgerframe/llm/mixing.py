@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 
 #: Most slots of a round and most groups: what bounds the broadcast schedules.
 MAX_ROUND, MAX_GROUPS = 4096, 256
-BLOCK_CHARS, BUCKET_ROWS = 1 << 18, 50_000
+BLOCK_CHARS, BUCKET_ROWS = 1 << 18, 8192
 
 
 def round_schedule(demand: Column) -> Column:
