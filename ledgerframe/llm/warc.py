@@ -5,7 +5,7 @@ and a metadata record that alone holds the page_id. Request and metadata name th
 cuts the archives into records by their Content-Length, checks the digests, joins the three records of a capture by those identifiers
 and emits one nested row for it. Revisits are resolved by payload digest (the identical-payload-digest profile).
 
-Files are written by Spark's text writer, record after record, to any file system it reaches; at most `records_per_file` records go into
+Files are written by Spark's text writer, record after record, gzip-compressed by file, to any file system it reaches; at most `records_per_file` records go into
 one, which bounds what a reader holds. Digests are native (sha1, base32 by arithmetic).
 
 Defined cases. Null html: empty payload. Null page_id: a response of its own, page_id null. Rows that repeat page_id and payload: all
@@ -14,6 +14,7 @@ responses (none has a smaller id). Null url: no target URI; line breaks in an ur
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -73,7 +74,7 @@ def write(pages: DataFrame, path: str, records_per_file: int = 3000) -> None:
         [("WARC-Type", "metadata"), ("WARC-Record-ID", F.col("metadata_id")), ("WARC-Date", DATE), uri, ("WARC-Concurrent-To", F.col("response_id")), ("Content-Type", "application/warc-fields")],
         F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")),
     )
-    page.select(F.explode(F.array(asked, answer, told)).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    page.select(F.explode(F.array(asked, answer, told)).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 RECORD = T.StructType([
@@ -122,7 +123,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for content in batch["content"]:
                 rows: list[dict] = []
                 size = 0
-                for r in parse(bytes(content)):
+                for r in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)):
                     rows.append(r)
                     size += len(r["payload"] or b"")
                     if size > 1 << 24:
