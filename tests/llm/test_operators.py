@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -252,6 +253,19 @@ def test_license_spans(spark):
     assert [x[0] for x in got[7]] == ["MIT"] * 3 and [x[0] for x in got[8]] == ["CC-BY-4.0"]
 
 
+def test_licenses_in_every_form():
+    prose = " ".join(words(400, 61))
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            wrapped = textwrap.fill(text, 60, break_long_words=False)
+            for form in (text, wrapped, textwrap.indent(wrapped, "# "), textwrap.indent(wrapped, " * "), wrapped.replace("\n", "\n\n")):
+                for whole in (form, f"{prose}\n{form}\n{prose}", f"{prose} {form} {prose}"):
+                    got = licenses.find(whole)
+                    assert [(s[2], s[4]) for s in got] == [(name, 0)], (name, form)
+                    assert whole[got[0][0] : got[0][1]] == form[form.index(text[0]) :].rstrip("./"), name
+    assert licenses.find("Permission is hereby not granted, free of charge.") == []
+
+
 # -- WARC ----------------------------------------------------------------------------
 
 
