@@ -266,6 +266,17 @@ def test_licenses_in_every_form():
     assert licenses.find("Permission is hereby not granted, free of charge.") == []
 
 
+def test_every_license_of_a_block():
+    notices = [(name, text) for name, texts in licenses.TEMPLATES.items() for text in texts]
+    for times in (1, 3):
+        whole = "\n".join(textwrap.fill(t, 76, break_long_words=False) for _, t in notices for _ in range(times))
+        got = licenses.find(whole)
+        assert [s[2] for s in got] == [n for n, _ in notices for _ in range(times)]
+        assert all(s[4] == 0 and s[3] > 0 for s in got)
+    apache = licenses.TEMPLATES["Apache-2.0"][1]
+    assert [s[:2] for s in licenses.find(f"{apache}\n{apache}")] == [(0, len(apache) - 1), (len(apache) + 1, 2 * len(apache))]
+
+
 # -- WARC ----------------------------------------------------------------------------
 
 
