@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
-Three fixed kinds are found by pattern (assign, access, hex). Beyond them, every run of token characters that mixes letters and digits is
+Three fixed kinds are found by pattern (assign, access, hex). Beyond them, every run of 16 or more token characters is
 encoded with a public byte-pair vocabulary: natural words and names need one token for about four characters,
-random strings one for about two or less. A run under `ratio` characters per token is a span of kind `random`, unless it has the shape of a known digest
-(hex of 32, 40, 56, 64, 96 or 128 digits), an identifier (UUID, date or time, version, e-mail or web address part), or overlaps a base span.
+random strings one for about two or less. A run under `ratio` characters per token is a span of kind `random`, and so is a segment of it between / and _
+that is judged alone. Left out are known shapes: digests (hex of 32, 40, 56, 64, 96 or 128 digits), UUIDs, numbers, dates and times, e-mail addresses, hosts of web
+addresses, and what overlaps a base span.
 
 Positions are code points of the whole text, end exclusive. Null text counts as empty; an empty text has no spans. Extra columns are ignored; a
 null doc_id stays null. Every row gives one row. The vocabulary is read once per Python worker from `vocabulary`, which must lie at the same path on every host.
@@ -27,10 +28,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "random")
+#: Characters encoded at once.
+CHUNK = 4096
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
-IDENTIFIER = re.compile(r"(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9][0-9TZ:/_+-]*|(?:[A-Za-z]+[/_-])*[A-Za-z]+[/_-]?[0-9]{0,4}(?:[/_-][A-Za-z]*[0-9]{0,4})*)\Z")
+SHAPE = re.compile(r"(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9][0-9TZ:/_+-]*)\Z")
+NAME = re.compile(r"(?:[A-Za-z]+[/_-])*[A-Za-z]+[/_-]?[0-9]{0,4}(?:[/_-][A-Za-z]*[0-9]{0,4})*\Z")
+#: An address, but not what stands between :// and a host; the host of a web address.
+ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+:/-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}|(?<=://)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![A-Za-z0-9@._-])")
+SEGMENT, PART = re.compile(r"[A-Za-z0-9+-]{16,}(?:=+\Z)?"), re.compile("[A-Za-z0-9]{6,}")
 DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 #: Public location of the vocabulary and the pattern that parts text into pieces before merging.
 VOCABULARY = os.environ.get("LEDGERFRAME_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -60,23 +67,50 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
+def tokens(word: str, vocabulary: str) -> int:
+    """Number of tokens of word; those over CHUNK characters are encoded in parts."""
+    return sum(len(encoding(vocabulary).encode_ordinary(word[i : i + CHUNK])) for i in range(0, len(word), CHUNK))
+
+
+def random_parts(run: str, ratio: float, vocabulary: str) -> list[tuple[int, int]]:
+    """Spans of a run that are random strings: the whole run, or those of its segments between / and _ that are."""
+    word = run.rstrip("=")
+    if DIGEST.match(word) or SHAPE.match(word):
+        return []
+    if DIGIT.search(word) and LETTER.search(word) and not NAME.match(word) and len(word) < ratio * tokens(word, vocabulary):
+        return [(0, len(run))]
+    out = []
+    for m in SEGMENT.finditer(run):
+        part = m.group().rstrip("=")
+        # Parts between hyphens are judged without them, so that a chain of short words is no random string.
+        bare = part if "-" not in part and "+" not in part else "".join(PART.findall(part))
+        if len(bare) >= 16 and LETTER.search(bare) and not (DIGEST.match(part) or SHAPE.match(part)) and len(bare) < ratio * tokens(bare, vocabulary):
+            out.append(m.span())
+    if out:
+        return out
+    # A run whose segments are all too short to be judged alone.
+    parts = [p for p in PART.findall(word) if LETTER.search(p) and not DIGEST.match(p)]
+    size = sum(map(len, parts))
+    return [(0, len(run))] if size >= 16 and size < ratio * sum(tokens(p, vocabulary) for p in parts) else []
+
+
 def random_spans(text: str, base: list[tuple[int, str, int]], ratio: float, vocabulary: str) -> list[tuple[int, str, int]]:
-    out, at = [], 0
+    out, at, far = [], 0, 0
     ends = [0]
     for _, _, e in base:
         ends.append(max(ends[-1], e))
+    known = [m.span() for m in ADDRESS.finditer(text)] if "@" in text or "://" in text else []
     for m in CANDIDATE.finditer(text):
-        word = m.group().rstrip("=")
-        if not (DIGIT.search(word) and LETTER.search(word)) or DIGEST.match(word) or IDENTIFIER.match(word):
-            continue
-        if m.start() and text[m.start() - 1] in "@." or text[m.end() : m.end() + 1] == "@":
-            continue
-        while at < len(base) and base[at][0] < m.end():
-            at += 1
-        if ends[at] > m.start():
+        while far < len(known) and known[far][1] < m.end():
+            far += 1
+        if far < len(known) and known[far][0] <= m.end() - len(m.group().lstrip("/")):
             continue
-        if len(word) < ratio * len(encoding(vocabulary).encode_ordinary(word)):
-            out.append((m.start(), "random", m.end()))
+        for a, b in random_parts(m.group(), ratio, vocabulary):
+            a, b = m.start() + a, m.start() + b
+            while at < len(base) and base[at][0] < b:
+                at += 1
+            if ends[at] <= a:
+                out.append((a, "random", b))
     return out
 
 

@@ -109,6 +109,21 @@ def test_secret_rows(spark):
     assert out[2] == "key [SECRET] end" and out[0] is None
 
 
+def test_random_strings_of_every_kind():
+    rng = random.Random(5)
+    upper, letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda n, of=letters + "0123456789": "".join(rng.choice(of) for _ in range(n))
+    for _ in range(50):
+        a, b = key(43), key(24, letters)
+        texts = [f"x {b} y", f"eyJhbGciOiJIUzI1NiJ9.{a}.{b}", f"SG.{a}.{b}", f"https://hooks.slack.com/services/T{key(8, upper)}/B{key(8, upper)}/{b}", f"postgres://user:{b}@host.example.com/db", f"ghp_{b}", f"docs/{b}/a", f"https://{b}@example.com/", f"{b}1234", f"{b[:10]}_{b[10:]}"]
+        for text in texts:
+            found = secrets.random_spans(text, [], 2.2, secrets.VOCABULARY)
+            assert any(s <= text.index(b[10:]) and text.index(b[10:]) + 14 <= e for s, _, e in found), text
+            assert a not in text or any(s <= text.index(a) and text.index(a) + len(a) <= e for s, _, e in found), text
+    known = "internationalization Geschwindigkeitsbegrenzung responsabilidades to-be-or-not-to-be-that-is a/b/c/d/e/f/g/h/i/j MAX_CONNECTION_RETRIES qxkzvwqjpz.rmtbkwzxvqplhd@example.com https://ec2-203-0-113-25.compute-1.amazonaws.com/ 1234567890123456789 2024-01-01T00:00:00Z"
+    assert secrets.random_spans(known, [], 2.2, secrets.VOCABULARY) == []
+
+
 # -- mixing -----------------------------------------------------------------------
 
 
