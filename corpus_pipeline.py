@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import decontaminate, language_id, mixing, near_dedup, packing
-from ledgerframe.llm._common import shared_dir, table
+from ledgerframe.llm._common import as_written, shared_dir, table
 from ledgerframe.llm.queries import OTHER_WEIGHT, WEIGHTS
 
+#: Tokens packed at once: about what a block of the mixture holds, so that packing moves a document by no more than that.
+PACK_TOKENS = 1 << 17
+
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter go."""
@@ -46,8 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token-id rows with segment lengths and position resets."""
-    return packing.pack(docs)
+    """Packed token-id rows with segment lengths and position resets; by pack_id they follow the mixture."""
+    return packing.pack(as_written(docs), batch_tokens=PACK_TOKENS, in_order=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_written(df: DataFrame) -> DataFrame:
+    """df, read from files that Spark wrote, in the order in which it was written: a scan takes files by size, not by number.
+
+    The place is the number of the part file and the row's place in it. A df that is no plain read of files is returned as it is."""
+    try:
+        placed = df.select("*", F.col("_metadata.file_name").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
+    except AnalysisException:
+        return df
+    return placed.orderBy(F.regexp_extract("at_file", r"^part-(\d+)", 1).try_cast("long"), "at_file", "at_row").drop("at_file", "at_row")
+
+
 def id_hash_mod(column: str, divisor: int):
     """crc32 of the id as text, modulo divisor; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))

@@ -73,9 +73,10 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return rows
 
 
-def _packed(ids: list[np.ndarray], owner: list[tuple[int, int]], row_tokens: int, separator: int, kind: np.dtype, number: int) -> pa.RecordBatch:
+def _packed(ids: list[np.ndarray], owner: list[tuple[int, int]], row_tokens: int, separator: int, kind: np.dtype, number: int, in_order: bool) -> pa.RecordBatch:
     out = []
-    for row in best_fit_decreasing(np.array([len(x) for x in ids]), row_tokens):
+    rows = best_fit_decreasing(np.array([len(x) for x in ids]), row_tokens)
+    for row in sorted(map(sorted, rows)) if in_order else rows:
         whole = np.full(row_tokens, separator, dtype=kind)
         lengths = [len(ids[i]) for i in row]
         ends = np.cumsum([0, *lengths]).astype(np.int32)
@@ -86,8 +87,10 @@ def _packed(ids: list[np.ndarray], owner: list[tuple[int, int]], row_tokens: int
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, batch_tokens: int = BATCH_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Packed rows (SCHEMA) of docs(doc_id, text). Piece p of a document holds its tokens from p * row_tokens on."""
+def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, batch_tokens: int = BATCH_TOKENS, vocabulary: str = VOCABULARY, in_order: bool = False) -> DataFrame:
+    """Packed rows (SCHEMA) of docs(doc_id, text). Piece p of a document holds its tokens from p * row_tokens on.
+
+    in_order: pieces of a row and rows of a batch follow the rows of docs, so that by pack_id a document is out of its place by less than a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoding(vocabulary)
@@ -107,10 +110,10 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, batch_tokens: int = BATC
                     owner.append((doc, p // row_tokens))
                 total += len(whole)
                 if total >= batch_tokens:
-                    yield (out := _packed(ids, owner, row_tokens, separator, kind, number))
+                    yield (out := _packed(ids, owner, row_tokens, separator, kind, number, in_order))
                     ids, owner, total, number = [], [], 0, number + out.num_rows
         if ids:
-            yield _packed(ids, owner, row_tokens, separator, kind, number)
+            yield _packed(ids, owner, row_tokens, separator, kind, number, in_order)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 

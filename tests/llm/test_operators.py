@@ -443,3 +443,44 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_packed_rows_follow_the_mixture(spark, tmp_path):
+    import corpus_pipeline
+
+    weights = {**corpus_pipeline.WEIGHTS, "*": corpus_pipeline.OTHER_WEIGHT}
+    total, word = sum(weights.values()), words(4000, 91)
+    data = []
+    for s, w in weights.items():  # more than one round of each source, and four times that of src4: the end is src4 alone
+        for j in range(w * 30 * (4 if s == "src4" else 1)):
+            text = " ".join(word[j % 7 * 400 : j % 7 * 400 + 1200]).ljust(9000, "." if j % 2 else "z")[:9000]
+            data.append((len(data), text, "en", s, len(text)))
+    random.Random(3).shuffle(data)
+    docs = spark.createDataFrame(data, DOC)
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    order = [r.doc_id for r in mixed.select("doc_id").collect()]
+    # Files whose sizes grow: a scan takes the last first.
+    ends = [len(order) * k * k // 36 for k in range(1, 7)]
+    part = {d: next(k for k, e in enumerate(ends) if i < e) for i, d in enumerate(order)}
+    rows = {d[0]: d for d in data}
+    for k in range(6):
+        spark.createDataFrame([rows[d] for d in order if part[d] == k], DOC).coalesce(1).write.parquet(str(tmp_path / f"one{k}"))
+        (one,) = (tmp_path / f"one{k}").glob("part-*.parquet")
+        (tmp_path / "mixed").mkdir(exist_ok=True)
+        one.rename(tmp_path / "mixed" / one.name.replace("part-00000", f"part-{k:05d}"))
+    packed = corpus_pipeline.pack_tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), "").select("pack_id", "cu_seqlens", "doc_ids").collect()
+    assert len({r.pack_id for r in packed}) == len(packed) and [r.pack_id for r in packed] == sorted(r.pack_id for r in packed)
+    seen, sizes = dict.fromkeys(weights, 0.0), {}
+    for r in packed:
+        for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            sizes[d] = sizes.get(d, 0) + b - a
+    assert set(sizes) == set(rows)
+    block, done = mixing.BLOCK_CHARS, 0.0
+    for r in packed:
+        for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            seen[rows[d][3]] += 9000 * (b - a) / sizes[d]
+        done = sum(seen.values())
+        if done < total * block:  # the first round: within a block of the target, and what packing and document ends move
+            assert all(abs(seen[s] - w / total * done) < 3 * block for s, w in weights.items()), (done, seen)
+    late = [rows[d][3] for r in packed[-len(packed) // 20 :] for d in r.doc_ids]
+    assert late and set(late) == {"src4"}
