@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -13,9 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that the driver and every executor see: spark.checkpoint.dir. Where that is unset, a local folder if Spark is one local process (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else "file://" + os.path.join(tempfile.gettempdir(), "ledgerframe-shared")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "ledgerframe-shared")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -24,7 +29,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """name, lengthened until no column of `taken` is called so (Spark compares without case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,23 +100,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def pieces(data: np.ndarray, is_separator: np.ndarray, size: int = CHUNK) -> Iterator[np.ndarray]:
+    """data in pieces of `size` bytes or more, cut before separators only, so that no word is cut."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(n, at + size)
+        while end < n:  # move the cut to the next separator
+            stop = np.flatnonzero(is_separator[data[end : end + size]])
+            if len(stop):
+                end += int(stop[0])
+                break
+            end = min(n, end + size)
+        yield data[at:end]
+        at = end
+
+
 def word_hashes(raw: bytes, is_separator: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words of raw, in order; a word is a maximal run of bytes that is_separator (256 booleans) denies."""
-    if len(raw) > 2 * CHUNK:
-        parts, at, n = [], 0, len(raw)
-        data = np.frombuffer(raw, dtype=np.uint8)
-        while at < n:
-            end = min(n, at + CHUNK)
-            while end < n:  # move the cut to the next separator
-                stop = np.flatnonzero(is_separator[data[end : end + CHUNK]])
-                if len(stop):
-                    end += int(stop[0])
-                    break
-                end = min(n, end + CHUNK)
-            parts.append(_word_hashes(data[at:end], is_separator))
-            at = end
-        return np.concatenate(parts)
-    return _word_hashes(np.frombuffer(raw, dtype=np.uint8), is_separator)
+    data = np.frombuffer(raw, dtype=np.uint8)
+    if len(raw) <= 2 * CHUNK:
+        return _word_hashes(data, is_separator)
+    return np.concatenate([_word_hashes(part, is_separator) for part in pieces(data, is_separator)])
 
 
 def _word_hashes(data: np.ndarray, is_separator: np.ndarray) -> np.ndarray:

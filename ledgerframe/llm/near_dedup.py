@@ -6,16 +6,17 @@ that merge by maximum and agree, register by register, about as often as the set
 candidate pairs, a joint likelihood over register order (greater, less, equal) discards the hopeless ones, and
 the full shingle sets confirm the rest exactly.
 
-Scale. Equal sets are one class from the start. Within a bucket every class is compared with one leader, so a group of
-m near copies costs m comparisons. Only where members of one bucket still lie in different components does a
-second round compare the minority members with the others, which finds every candidate pair that the leader
-did not settle, without pairs inside a component. Components come from a distributed minimum-label iteration; nothing
+Scale. Equal sets are one class from the start, named by a row number of one of its rows. A bucket is led by its class of most
+company, and comparisons go in rounds: each class with the best of its leaders alone; then with those other leaders that
+still lie in another component; then, where members of one bucket still lie in different components, those pairs that an exact
+prefix filter over their differences from a common reference leaves. Every candidate pair is so compared, excluded by a bound or already joined, at about one
+comparison a class, without pairs inside a component. Components come from a distributed minimum-label iteration; nothing
 of the documents reaches the driver. With `rows`=5 and `bands`=45 a pair at similarity 0.8 escapes all bands
 with probability (1 - 0.8**5)**45 < 2e-8.
 
 Defined cases. Null or wordless text: empty set, linked with nothing, its own component. Null doc_id: counted and returned,
 never linked, component_id null and kept true (it cannot be named as another's copy). Rows that share a doc_id are one vertex: links
-of any of them hold for all. Extra columns are ignored. Empty table: empty result.
+of any of them hold for all; drop_copies goes by rows instead. Extra columns are ignored. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import mix64, shingle_hashes, staged, word_hashes
+from ._common import discard, fresh, mix64, shingle_hashes, staged, word_hashes
 
 #: White space that parts words: the space and U+0009 to U+000D.
 SPACES = np.zeros(256, dtype=bool)
@@ -97,7 +99,7 @@ def likely_similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
 
 
 def sketches(docs: DataFrame, width: int = 5, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, registers): set_key is a 128-bit digest of the whole set, registers little-endian uint16."""
+    """(row, doc_id, n_shingles, set_key, registers) of docs(row, doc_id, text): set_key is a 128-bit digest of the whole set, registers little-endian uint16."""
     m = rows * bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,22 +111,21 @@ def sketches(docs: DataFrame, width: int = 5, rows: int = ROWS, bands: int = BAN
                 sizes.append(len(s))
                 keys.append(set_key(s))
                 regs.append(registers(s, m, seeds).tobytes())
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "registers"])
+            columns = [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_shingles", "set_key", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_shingles long, set_key binary, registers binary")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(set_id, shingles): sorted distinct hashes as little-endian uint64, of the rows of texts whose set is the one that set_key names."""
+    """(set_id, shingles) of texts(set_id, text): sorted distinct hashes as little-endian uint64."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles_of(t, width) for t in batch["text"]]
-            own = [set_key(s) == bytes(k) for s, k in zip(sets, batch["set_key"], strict=True)]
-            yield pd.DataFrame({"set_id": batch["set_id"][own], "shingles": [s.tobytes() for s, o in zip(sets, own, strict=True) if o]})
+            sets = [shingles_of(t, width).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(sets, pa.binary())], names=["set_id", "shingles"])
 
-    return texts.mapInPandas(run, "set_id long, shingles binary").dropDuplicates(["set_id"])
+    return texts.mapInArrow(run, "set_id long, shingles binary")
 
 
 def _is_likely(threshold: float):
@@ -156,13 +157,6 @@ def _is_linked(percent: int):
     return linked
 
 
-def _sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int, name: str) -> DataFrame:
-    """The whole sets of the classes named by ids(set_id), each read from the document that is its class's member."""
-    of = classes.join(ids, "set_id", "left_semi").select("set_id", F.col("member").alias("doc_id"), "set_key")
-    # Rows that repeat a doc_id with another text are told apart by the set's key.
-    return staged(_sets(docs.join(of, "doc_id").select("set_id", "set_key", "text"), width), name)
-
-
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b of set_id) whose registers leave the similarity credible."""
     regs = classes.select("set_id", "n_shingles", "registers")
@@ -172,7 +166,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         .filter(_is_likely(percent / 100)("r_a", "r_b", "n_a", "n_b"))
         .select("a", "b")
     )
-    return staged(likely, "near-candidates")
+    return likely
 
 
 def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,89 +180,48 @@ def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """(set_id, own): how many shingles of each set stand in no other set of the table (no row for 0)."""
+def _differences(members: DataFrame) -> DataFrame:
+    """(family, set_id, component, n_shingles, size, element): what is in just one of a member's set and its family's reference, of members(..., shingles, reference)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("family", "set_id", "component", "n_shingles")
         for batch in batches:
-            yield pd.DataFrame({"set_id": batch["set_id"], "each": [np.frombuffer(x, dtype=np.int64) for x in batch["shingles"]]})
-
-    each = sets.mapInPandas(run, "set_id long, each array<long>").select("set_id", F.explode("each").alias("shingle"))
-    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("set_id")).filter("n = 1")
-    return once.groupBy("set_id").agg(F.count(F.lit(1)).alias("own"))
-
+            sets = ([np.frombuffer(x, dtype=np.int64) for x in batch.column(c).to_pylist()] for c in ("shingles", "reference"))
+            apart = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(*sets, strict=True)]
+            ends = np.cumsum([0, *map(len, apart)])
+            each = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([*apart, np.empty(0, np.int64)]))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(np.diff(ends), pa.int64()), each], names=[*names, "size", "each"])
 
-#: Components of up to so many candidate members are compared pair by pair, larger ones in blocks of about BLOCK sets.
-SMALL, BLOCK = 4, 512
+    found = members.mapInArrow(run, "family long, set_id long, component long, n_shingles long, size long, each array<long>")
+    return found.select("family", "set_id", "component", "n_shingles", "size", F.explode("each").alias("element"))
 
 
-def _late_links(labelled: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between components that share a bucket, enough of them to join what is linked.
+def _late_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of different components and one family that may be linked, of rest(set_id, n_shingles, component, lead, weight, c_lead).
 
-    labelled has a row (bucket, set_id, component, n_shingles, own) for each member of a mixed bucket. Each member outside its bucket's
-    largest component is compared with the other components of the bucket: with their few members one by one, with large components in blocks.
+    Buckets with common components make a family; its reference is its lead of most company. With D(x) for what x and the reference do not share, two sets differ by
+    |D(x)| + |D(y)| - 2 |D(x) and D(y)| shingles, and are linked if that is at most (100 - p) / (100 + p) of |x| + |y|. So linked sets have common elements in D, and
+    the first of them, rarest first, lies among the first (100 - p) / p * |x| + 1 of each; its places bound how many follow. (Where no common element is needed both are
+    linked with the reference, which leads every mixed bucket that it is in.) Copies that were changed in different places share no rare element and never meet.
     """
-    # Own shingles of one set are missing from the other: |A and B| <= |A| - own(A) and |A or B| >= |A| + own(B), and conversely.
-    spare = 100 * (F.col("n_shingles") - F.col("own")) - percent * F.col("n_shingles")
-    by_component = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("least_own"), F.max(spare).alias("spare"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    major = by_component.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-    minority = labelled.join(major, "bucket").filter("component <> major").select("bucket", F.col("set_id").alias("x"), F.col("component").alias("x_component"), F.col("n_shingles").alias("x_n"), spare.alias("x_spare"), F.col("own").alias("x_own"))
-    possible = (
-        (F.col("component") != F.col("x_component")) & (F.col("x_spare") >= percent * F.col("least_own")) & (F.col("spare") >= percent * F.col("x_own"))
-        & (100 * F.col("x_n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("x_n"))
-    )
-    targets = staged(minority.join(by_component, "bucket").filter(possible).select("x", "component").distinct(), "near-targets")
-    members = labelled.select("set_id", "component").distinct()
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members")).join(targets.groupBy("component").agg(F.count(F.lit(1)).alias("asking")), "component")
-    sizes = sizes.select("component", "members", F.ceil(F.col("members") / BLOCK).alias("m_blocks"), F.ceil(F.col("asking") / BLOCK).alias("x_blocks"))
-    few, many = sizes.filter(F.col("members") <= SMALL), sizes.filter(F.col("members") > SMALL)
-    pairs = targets.join(few, "component").join(members, "component").select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b")).distinct()
-    single = _confirmed(_likely(pairs, classes, percent), sets, percent)
-
-    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(name)
-    asking = targets.join(many, "component").select("component", "x", F.pmod(F.xxhash64(F.lit(3), "x"), F.col("x_blocks")).alias("xb"), every("m_blocks", "mb"))
-    asking = asking.join(sets.select(F.col("set_id").alias("x"), F.col("shingles").alias("x_set")), "x")
-    asked = members.join(many, "component").select("component", "set_id", F.pmod(F.xxhash64(F.lit(3), "set_id"), F.col("m_blocks")).alias("mb"), every("x_blocks", "xb"))
-    asked = asked.join(sets, "set_id")
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        if len(left) and len(right):
-            x, y = ([np.frombuffer(v, dtype=np.uint64) for v in col] for col in (left["x_set"], right["shingles"]))
-            linked = 100 * (shared := shared_sizes(x, y)) >= percent * (np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - shared)
-            rows = np.flatnonzero(linked.any(axis=1))
-            a, b = left["x"].to_numpy()[rows], right["set_id"].to_numpy()[linked[rows].argmax(axis=1)]
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
-
-    keys = ["component", "xb", "mb"]
-    blocks = asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "a long, b long")
-    return single.union(blocks)
-
-
-def shared_sizes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of two lists of sets (sorted distinct hashes), as a matrix product over the shingles that both lists hold."""
-    all_x, all_y = np.concatenate(x), np.concatenate(y)
-    both = np.intersect1d(all_x, all_y)
-    out = np.zeros((len(x), len(y)), dtype=np.int64)
-    row_x, row_y = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y))
-
-    def places(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
-        known = both[at] == values if len(both) else np.zeros(len(values), dtype=bool)
-        order = np.argsort(at[known], kind="stable")
-        return at[known][order], rows[known][order]
-
-    (ax, rx), (ay, ry) = places(all_x, row_x), places(all_y, row_y)
-    for low in range(0, len(both), 4096):
-        high = low + 4096
-        m = []
-        for at, rows, n in ((ax, rx, len(x)), (ay, ry, len(y))):
-            cut = slice(*np.searchsorted(at, [low, high]))
-            part = np.zeros((n, min(4096, len(both) - low)), dtype=np.float32)
-            part[rows[cut], at[cut] - low] = 1
-            m.append(part)
-        out += (m[0] @ m[1].T).astype(np.int64)
-    return out
+    joined = components(rest.select(F.col("c_lead").alias("a"), F.col("component").alias("b")).filter("a <> b").distinct())
+    own = rest.join(joined.select(F.col("node").alias("c_lead"), F.col("component").alias("family")), "c_lead", "left").withColumn("family", F.coalesce("family", "c_lead"))
+    own = staged(own, "near-families")
+    families = own.groupBy("family").agg(F.max(F.struct("weight", "lead"))["lead"].alias("ref"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("family", "ref")
+    members = own.select("family", "set_id", "component", "n_shingles").distinct().join(families, "family").join(sets, "set_id")
+    members = members.join(sets.select(F.col("set_id").alias("ref"), F.col("shingles").alias("reference")), "ref")
+    each = staged(_differences(members), "near-differences")
+    often = each.groupBy("family", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    place = F.row_number().over(W.partitionBy("family", "set_id").orderBy(F.coalesce("n", F.lit(1)), "element"))  # the elements of one set
+    placed = each.join(often, ["family", "element"], "left").withColumn("place", place)
+    prefix = F.floor(F.lit(100 - percent) * F.col("n_shingles") / F.lit(percent)) + 1
+    found = staged(placed.filter((F.col("place") <= prefix) & F.col("n").isNotNull()).drop("n"), "near-prefixes")
+    discard(own, each, joined)
+    a, b = found.alias("a"), found.alias("b")
+    common = 1 + F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    near = (100 + percent) * (F.col("a.size") + F.col("b.size") - 2 * common) <= (100 - percent) * (F.col("a.n_shingles") + F.col("b.n_shingles"))
+    on = (F.col("a.family") == F.col("b.family")) & (F.col("a.element") == F.col("b.element")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.component") != F.col("b.component")) & near
+    return a.join(b, on).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,66 +231,84 @@ def components(edges: DataFrame) -> DataFrame:
     then that label's own label; the rounds end when no label changes, after about the logarithm of the longest path.
     """
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "cc-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "cc-labels")
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component"), F.lit(True).alias("changed")), "cc-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = lower.join(labels.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
-        now = staged(jump.select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "cc-labels")
-        changed = now.filter("component <> was").limit(1).count()
-        labels = now.select("node", "component")
-        if not changed:
+        least = F.least("component", F.coalesce("further", "component"))
+        now = staged(jump.select("node", least.alias("component"), (least != F.col("was")).alias("changed")), "cc-labels")
+        discard(labels)
+        labels = now
+        if labels.filter("changed").isEmpty():
+            discard(both)
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest linked doc_id), kept (doc_id = component_id).
-
-    docs needs doc_id and text. Links: percent <= 100 * |A and B| / |A or B| on sets of `width`-word shingles.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = staged(sketches(docs, width, rows, bands), "near-sketches")
-    usable = sketched.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    key = F.xxhash64("set_key").alias("set_id")
-    # One class per distinct set; its member is the smallest doc_id with that set.
-    heads = usable.groupBy("set_key").agg(F.min("doc_id").alias("member"))
-    heads = staged(heads.select("set_key", "member", key), "near-classes")
-    single = usable.join(heads, "set_key")
-    classes = single.filter("doc_id = member").select("set_id", "set_key", "member", "n_shingles", "registers").dropDuplicates(["set_key"])
-    classes = staged(classes, "near-class-sketches")
+def _class_links(classes: DataFrame, texts: DataFrame, width: int, percent: int, rows: int, bands: int) -> DataFrame:
+    """(a, b): links between classes(set_id, n_shingles, registers) that join all that is linked; texts(row, text) holds the text of each set_id as row."""
     width_bytes = 2 * rows
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 1 + i * width_bytes, width_bytes)) for i in range(bands)])
-    in_bands = classes.select("set_id", "member", "n_shingles", F.explode(keys).alias("bucket"))
+    in_bands = classes.select("set_id", "n_shingles", F.explode(keys).alias("bucket"))
     sizes = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = staged(in_bands.join(sizes, "bucket"), "near-buckets")
+    sized = staged(in_bands.join(sizes, "bucket"), "near-buckets")
     # The class that shares most leads its buckets: the middle of a group of near copies leads nearly all of them, so that a copy has few leaders.
-    company = shared.groupBy("set_id").agg(F.sum("size").alias("company"))
-    shared = shared.join(company, "set_id")
-    leads = shared.groupBy("bucket").agg(F.max_by("set_id", F.struct("company", "set_id")).alias("lead"))
-    shared = staged(shared.join(leads, "bucket").select("bucket", "set_id", "member", "n_shingles", "lead"), "near-led-buckets")
-    stars = shared.filter("set_id <> lead").select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct()
-    likely = _likely(stars, classes, percent)
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    links = staged(_confirmed(likely, _sets_of(wanted, classes, docs, width, "near-sets"), percent), "near-links")
-
+    company = sized.groupBy("set_id").agg(F.sum("size").alias("company"))
+    known = sized.join(company, "set_id")
+    leads = known.groupBy("bucket").agg(F.max(F.struct("company", F.col("set_id").alias("lead"))).alias("by"))
+    shared = staged(known.join(leads, "bucket").select("bucket", "set_id", "n_shingles", F.col("by.lead").alias("lead"), F.col("by.company").alias("weight")), "near-led-buckets")
+    discard(sized)
+    # The whole sets of all classes that share a bucket, each once.
+    wanted = shared.select("set_id").distinct()
+    sets = staged(_sets(texts.join(wanted, texts["row"] == wanted["set_id"]).select("set_id", "text"), width), "near-sets")
+
+    # First round: each class and the best of its leaders.
+    best = shared.filter("set_id <> lead").groupBy("set_id").agg(F.max_by("lead", F.struct("weight", "lead")).alias("a"))
+    first_pairs = staged(best.select("a", F.col("set_id").alias("b")), "near-first-pairs")
+    links = staged(_confirmed(_likely(first_pairs, classes, percent), sets, percent), "near-first-links")
+    found = components(links)
+    # Second round: the other leaders, where they still lie in another component.
+    of_set, of_lead = found.select(F.col("node").alias("set_id"), F.col("component").alias("c_set")), found.select(F.col("node").alias("lead"), F.col("component").alias("c_lead"))
+    stars = shared.filter("set_id <> lead").select("set_id", "lead").distinct().join(of_set, "set_id", "left").join(of_lead, "lead", "left")
+    apart = stars.filter(F.coalesce("c_set", "set_id") != F.coalesce("c_lead", "lead")).select(F.col("lead").alias("a"), F.col("set_id").alias("b"))
+    more_pairs = staged(apart.join(first_pairs, ["a", "b"], "left_anti"), "near-second-pairs")
+    links = staged(links.union(_confirmed(_likely(more_pairs, classes, percent), sets, percent)), "near-links")
+    discard(first_pairs, more_pairs, found)
+
+    # Last round: members of one bucket that still lie in different components.
     found = components(links)
-    labelled = shared.join(found.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    of_set, of_lead = found.select(F.col("node").alias("set_id"), F.col("component").alias("c_set")), found.select(F.col("node").alias("lead"), F.col("component").alias("c_lead"))
+    labelled = shared.filter("set_id <> lead").join(of_set, "set_id", "left").withColumn("component", F.coalesce("c_set", "set_id")).drop("c_set")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    labelled = staged(labelled.join(mixed, "bucket", "left_semi").filter("set_id <> lead"), "near-mixed")
-    late_sets = _sets_of(labelled.select("set_id").distinct(), classes, docs, width, "near-late-sets")
-    own = staged(_own_shingles(late_sets), "near-own")
-    labelled = labelled.join(own, "set_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    late = staged(_late_links(staged(labelled, "near-late-rows"), late_sets, classes, percent), "near-late-links")
+    rest = labelled.join(mixed, "bucket", "left_semi").join(of_lead, "lead", "left").withColumn("c_lead", F.coalesce("c_lead", "lead"))
+    rest = staged(rest.drop("bucket").distinct(), "near-mixed")
+    every = staged(links.union(_confirmed(_late_pairs(rest, sets, percent), sets, percent)), "near-all-links")
+    discard(shared, sets, links, found, rest)
+    return every
 
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest linked doc_id), kept (doc_id = component_id).
+
+    docs needs doc_id and text. Links: percent <= 100 * |A and B| / |A or B| on sets of `width`-word shingles.
+    """
+    # Rows are numbered once and kept so: neither null nor repeated ids say which row a class is read from.
+    texts = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "near-texts")
+    sketched = staged(sketches(texts, width, rows, bands), "near-sketches")
+    usable = sketched.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    # One class per distinct set: set_id is the number of one of its rows, its member the smallest doc_id with that set.
+    heads = staged(usable.groupBy("set_key").agg(F.min("row").alias("set_id"), F.min("doc_id").alias("member")), "near-classes")
+    classes = staged(usable.join(heads.select(F.col("set_id").alias("row"), "member"), "row").select(F.col("row").alias("set_id"), "member", "n_shingles", "registers"), "near-class-sketches")
+    links = _class_links(classes, texts, width, percent, rows, bands)
     # From classes to documents: each class is tied to its member, and members carry the smallest ids.
-    of_class = classes.select(F.col("set_id"), "member")
-    named = links.union(late).join(of_class.select(F.col("set_id").alias("a"), F.col("member").alias("m_a")), "a").join(of_class.select(F.col("set_id").alias("b"), F.col("member").alias("m_b")), "b")
+    of_class = classes.select("set_id", "member")
+    named = links.join(of_class.select(F.col("set_id").alias("a"), F.col("member").alias("m_a")), "a").join(of_class.select(F.col("set_id").alias("b"), F.col("member").alias("m_b")), "b")
     # A repeated doc_id may stand in several classes: it ties their members together.
-    tied = single.filter("doc_id <> member").select(F.col("doc_id").alias("a"), F.col("member").alias("b"))
-    repeated = sketched.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low <> high").select("doc_id")
-    across = tied.join(repeated.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    edges = named.select(F.col("m_a").alias("a"), F.col("m_b").alias("b")).union(across)
-    whole = components(edges)
+    single = usable.join(heads, "set_key").select("doc_id", "set_id", "member")
+    repeated = single.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low <> high").select("doc_id")
+    across = single.filter("doc_id <> member").join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("member").alias("b"))
+    whole = components(named.select(F.col("m_a").alias("a"), F.col("m_b").alias("b")).union(across))
+    discard(texts, classes, links)
     out = (
         sketched.join(heads.select("set_key", "member"), "set_key", "left")
         .withColumn("member", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("member")))
@@ -345,3 +316,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     )
     component = F.coalesce("component", "member", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_copies(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each near-duplicate group of docs, that of smallest key (nulls last); rows without words all stay. All columns as they were.
+
+    Rows are told apart by numbers of their own: rows of one key with different texts are different documents, and copies under a null key go like others.
+    """
+    row = fresh("near_row", docs.columns)
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "near-numbered")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), F.col(f"`{text}`").alias("text")), width, percent)
+    groups = found.filter("n_shingles > 0").select(F.col("doc_id").alias("near_r"), F.col("component_id").alias("near_c"))
+    # Only rows of groups of several are looked at again.
+    several = staged(groups.groupBy("near_c").agg(F.count(F.lit(1)).alias("near_n")).filter("near_n > 1").join(groups, "near_c").select("near_c", "near_r"), "near-groups")
+    keys = several.join(numbered.select(F.col(row).alias("near_r"), F.col(f"`{key}`").alias("near_k")), "near_r")
+    ranked = keys.select("near_c", F.struct(F.col("near_k").isNull().alias("last"), F.col("near_k").alias("k"), F.col("near_r").alias("r")).alias("near_s"))
+    heads = ranked.groupBy("near_c").agg(F.min("near_s").alias("near_s")).select(F.col("near_s.r").alias("near_r"))
+    gone = several.join(heads, "near_r", "left_anti").select(F.col("near_r").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -340,16 +340,14 @@ def brute_components(docs, width, percent):
     return sorted(repr((d, len(s), root(d) if d is not None else None, d is None or root(d) == d)) for (d, _), s in zip(docs, sets, strict=True))
 
 
-@pytest.mark.parametrize("small", [4, 0])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+@pytest.mark.parametrize("edits", [9, 14])
+def test_near_duplicates_equal_brute_force(spark, edits):
     rng = random.Random(6)
     base = words(90, 1, 10_000)
     docs = [(50 + i, None if i == 0 else "" if i == 1 else " \n\t" if i == 2 else " ".join(words(60, 100 + i, 10_000))) for i in range(20)]
-    for i in range(70):  # a group of near copies with up to eight edits each, some of them linked through others only
-        w = list(base)
-        for _ in range(rng.randrange(9)):
+    for i in range(150):  # near copies of one text, many of them too far from it, and copies of those that are linked with one another only
+        w = docs[-1][1].split() if i % 5 == 4 else list(base)
+        for _ in range(rng.randrange(1, 3) if i % 5 == 4 else rng.randrange(edits)):
             w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
         docs.append((1000 - i, " ".join(w)))
     docs += [(2000, " ".join(base).upper()), (2001, "a b"), (2002, "A  b"), (2003, "a b c"), (None, " ".join(base)), (2000, " ".join(words(50, 9999))), (2004, "x" * 100_000), (2005, docs[5][1]), (2005, docs[5][1])]
@@ -359,11 +357,8 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     assert near_dedup.near_duplicates(got.selectExpr("doc_id", "'' AS text").limit(0)).count() == 0
 
 
-def test_shared_sizes_and_registers():
+def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (0, 5, 100, 300, 9000)]
-    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
-    assert (near_dedup.shared_sizes(sets, sets) == want).all()
     a, b = (np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64)) for _ in range(2))
     union = near_dedup.registers(np.union1d(a, b), 225)
     assert (union == np.maximum(near_dedup.registers(a, 225), near_dedup.registers(b, 225))).all()  # registers merge
@@ -372,6 +367,38 @@ def test_shared_sizes_and_registers():
     assert abs(j[0] - 3600 / 4400) < 0.12 and likely[0]
 
 
+def test_late_pairs_miss_no_link(spark):
+    """Sets on the edge of the threshold around a reference: what the prefix filter leaves holds every link between components."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**62, 60)
+    sets = {0: base}
+    for i in range(1, 200):
+        x = set(sets[int(rng.integers(0, i))] if i % 3 else base)
+        x -= set(rng.permutation(sorted(x))[: rng.integers(0, 12)].tolist())
+        x |= set(rng.integers(0, 2**62, rng.integers(0, 12)).tolist()) | set(rng.permutation(sorted({v for s in sets.values() for v in s}))[: rng.integers(0, 3)].tolist())
+        sets[i] = x
+    sets = {i: np.array(sorted(set(x)), dtype=np.int64) for i, x in sets.items()}
+    similar = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    part = {i: 0 if similar(i, 0) else i for i in sets}
+    rest = spark.createDataFrame([(i, len(sets[i]), part[i], 0, 9, 0) for i in sets if i], "set_id long, n_shingles long, component long, lead long, weight long, c_lead long")
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "set_id long, shingles binary")
+    got = {(r.a, r.b) for r in near_dedup._late_pairs(rest, table, 80).collect()}
+    want = {(a, b) for a in sets for b in sets if 0 < a < b and part[a] != part[b] and similar(a, b)}
+    assert want and want <= got and len(got) < 4 * len(want) + 200
+
+
+def test_drop_copies_goes_by_rows(spark):
+    one, two, three = (" ".join(words(40, 800 + i, 5000)) for i in range(3))
+    data = [(1, one, "a", 7), (1, two, "b", 8), (1, one, "c", 9), (None, one, "d", 1), (None, three, "e", 2), (None, three, "f", 3), (5, two + " x", "g", 4), (6, None, "h", 5), (7, "", "i", 6), (8, "", "j", 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, near_row string, near_c long")
+    got = near_dedup.drop_copies(docs)
+    rows = sorted(map(repr, (tuple(r) for r in got.collect())))
+    assert got.columns == docs.columns and len(rows) == 6
+    kept = {r.near_row for r in got.collect()}
+    assert {"b", "h", "i", "j"} <= kept and len(kept & {"a", "c"}) == 1 and len(kept & {"e", "f"}) == 1 and not kept & {"d", "g"}
+    assert near_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in near_dedup.components(edges).collect()}
