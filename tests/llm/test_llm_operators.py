@@ -59,6 +59,22 @@ def leaks():
     return docs, items
 
 
+def test_clashing_names_and_null_ids_in_native_operators(spark):
+    """Columns called like the operators' own, null ids and empty tables."""
+    taken = ["dirty", "own_row", "spans", "row", "words", "digest", "length", "low", "high", "slot", "of_g", "of_i", "mix_g", "mix_low", "mix_at"]
+    item = " ".join(words(20, 1))
+    data = [(i if i % 3 else None, t, "a" if i % 2 else None, *range(len(taken))) for i, t in enumerate([item, "clean text here", "", None, " ".join(words(30, 7))] * 4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in taken))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == 16 and decontaminate.remove_spans(docs, bench).columns == docs.columns
+    mixed = mixing.mix(docs, {"a": 2}, 1, block_chars=20, bucket_rows=4)
+    assert mixed.count() == 20 and {c for c in docs.columns if not c.startswith("mix_")} <= set(mixed.columns)
+    assert mixing.mix(docs.limit(0), {"a": 2}).count() == 0
+    weighed = [(r.doc_id, r.n_hit) for r in decontaminate.contamination(docs, bench, broadcast_windows=3).collect()]
+    assert sum(n > 0 for _, n in weighed) == 4 and len(weighed) == 20
+
+
 def test_contamination_equals_brute_force(spark, leaks):
     docs, items = leaks
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("id", __import__("pyspark").sql.functions.lit(1))
@@ -124,6 +140,23 @@ def test_random_strings_of_every_kind():
     assert secrets.random_spans(known, [], 2.2, secrets.VOCABULARY) == []
 
 
+def test_random_spans_equal_a_plain_reading():
+    """Single runs without segments: random exactly if they are no known shape or name and fall under the ratio."""
+    rng, code = random.Random(11), secrets.encoding()
+    for _ in range(600):
+        n = rng.randrange(16, 60)
+        run = "".join(rng.choice(rng.choice(["abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "etaoin"])) for _ in range(n)) if rng.random() < 0.7 else "".join(rng.choice(["token", "ation", "ing", "re", "house", "12"]) for _ in range(8))
+        digest = n in (32, 40, 56, 64, 96, 128) and all(c in "0123456789abcdefABCDEF" for c in run)
+        low = len(run) < 2.2 * len(code.encode_ordinary(run)) and any(c.isalpha() for c in run) and not digest and not run.isdigit()
+        assert secrets.random_spans(f"say {run} now", [], 2.2, secrets.VOCABULARY) == ([(4, "random", 4 + len(run))] if low else []), run
+    import time
+
+    began = time.time()
+    for text in ("a-" * 100_000 + "1+", "a_" * 100_000 + "1+", "A1/" * 70_000, "a." * 100_000 + "@"):
+        secrets.random_spans(text, [], 2.2, secrets.VOCABULARY)
+    assert time.time() - began < 20
+
+
 # -- mixing -----------------------------------------------------------------------
 
 
@@ -195,7 +228,7 @@ def test_packing_is_lossless(spark):
     for r in packing.unpack(packed).collect():
         parts.setdefault(r.doc_id, {})[r.piece] = r.ids
     back = {d: code.decode([t for p in sorted(x) for t in x[p]][:-1]) for d, x in parts.items()}
-    assert back == {i: t for i, t in enumerate(texts) if t is not None} | {-1: "no id"}
+    assert back == {i: t for i, t in enumerate(texts) if t is not None} | {None: "no id"}
     for r in packed.collect():
         ids = np.frombuffer(r.ids, dtype="<u2")
         assert len(ids) == 128 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and r.position_resets == r.cu_seqlens[:-1] and r.n_segments == len(r.doc_ids)
@@ -248,6 +281,51 @@ def test_language_of_texts(spark):
     assert language_id.score_texts(["abc"], *none) == (["und"], [0.0])
 
 
+def test_every_indicator_and_gram_of_a_text_counts(monkeypatch):
+    """Pieces change nothing: neither grams nor indicators that lie across a cut are lost."""
+    text = "Ab  ab cde, fgh! ÉÈ x x x y. ΟΔΟΣ " + " ".join(words(300, 12)) + " end"
+    whole_grams, whole = np.sort(np.concatenate(list(language_id.grams(text)))), quality.features(text)
+    padded = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+    assert len(whole_grams) == 3 * len(padded) - 3
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(language_id, "_PIECE", size)
+        monkeypatch.setattr(quality, "_PIECE", size)
+        assert (np.sort(np.concatenate(list(language_id.grams(text)))) == whole_grams).all() and (quality.features(text) == whole).all()
+
+
+def test_quality_sample_holds_whole_rows(spark, monkeypatch):
+    data = [(i, " ".join(words(9000 if i % 50 == 0 else 30, i, 10**6)), i % 2) for i in range(100)] + [(7, "again", 1)] * 30
+    train = spark.createDataFrame(data, "doc_id long, text string, label int")
+    got = quality._sample(train)
+    assert sorted(len(np.frombuffer(x, np.int32)) for x in got["at"]) == sorted(len(quality.features(t)) for _, t, _ in {*data})
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    assert len(quality._sample(train)) == 20
+    monkeypatch.setattr(quality, "SAMPLE_INDICATORS", 1)
+    assert len(quality._sample(train)) == 1
+
+
+def test_languages_without_limit(spark):
+    """Naive Bayes over 300 languages against sums in plain Python."""
+    from collections import Counter
+
+    train = [(i, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} ab", f"l{i:03}") for i in range(300)]
+    model = language_id.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert model.languages == [x[2] for x in train] and [b.shape[1] for b in model.blocks] == [64] * 4 + [44]
+    counts = [Counter(np.concatenate(list(language_id.grams(t))).tolist()) for _, t, _ in train]
+    texts = [train[7][1], train[299][1] * 2, "ab ab", chr(0x4E00 + 130)]
+    found, sure = language_id.score_texts(texts, *model)
+    for text, name, score in zip(texts, found, sure, strict=True):
+        g = np.concatenate(list(language_id.grams(text))).tolist()
+        logs = np.array([sum(np.log((c[x] + 0.5) / (sum(c.values()) + 0.5 * language_id.DIMENSIONS)) for x in g) for c in counts])
+        assert name == model.languages[int(logs.argmax())] or np.sort(logs)[-1] - np.sort(logs)[-2] < 1e-3
+        assert abs(score - 1 / np.exp(logs - logs.max()).sum()) < 1e-3
+    prose = " ".join("the quick brown fox jumps over lazy dogs and runs".split()[i * 7 % 10] for i in range(4000))
+    one = language_id.fit(spark.createDataFrame([(1, prose, "en")], "doc_id long, text string, lang string"))
+    unlike = "".join(chr(0x3041 + i) for i in range(60))
+    assert language_id.score_texts([unlike, prose[:90], None], *one, reject_unlike=True)[0] == ["und", "en", "und"]
+    assert language_id.score_texts([unlike], *one)[0] == ["en"]
+
+
 def test_language_counts_cover_whole_texts():
     whole = np.concatenate(list(language_id.grams("ab cd")))
     assert len(whole) == 7 + 6 + 5  # " ab cd " in 1-, 2- and 3-grams
@@ -298,7 +376,7 @@ def test_every_license_of_a_block():
 def test_warc_round_trip(spark):
     tricky = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n\r\nb"
     pages = [(3, "http://a/", "<p>é</p>"), (1, "http://b/\r\nx: y", "<p>é</p>"), (2, None, None), (5, "http://c/", ""), (4, "http://d/", tricky), (4, "http://d/", tricky), (7, "u", "z" * 300_000), (None, "n", "<p>é</p>")]
-    got = [(r.page_id, r.response.payload_bytes, r.response.payload_digest, r.response.type, r.refers_to, r.response.digest_ok, r.request is not None) for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
+    got = [(r.page_id, r.response.payload_bytes, r.response.payload_digest, r.response.type, r.refers_to, r.response.digest_ok, len(r.requests) == 1) for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
     least = {}
     for i, _, h in pages:
         if i is not None:
@@ -312,6 +390,28 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_captures_join_from_either_side(spark):
+    import gzip
+    import io
+
+    def record(kind, own, block, *more):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {own}\r\n".encode() + b"".join(f"{k}: {v}\r\n".encode() for k, v in more) + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    whole = b"".join([
+        record("warcinfo", "i", b"software: x"), record("response", "a", b"HTTP/1.1 200 OK\r\n\r\nhello", ("WARC-Concurrent-To", "q1"), ("WARC-Concurrent-To", "m1")), record("request", "q1", b"GET / HTTP/1.1\r\n\r\n"),
+        record("metadata", "m1", b"page-id: 5\r\n"), record("metadata", "m2", b"x: y\r\n", ("WARC-Concurrent-To", "a")), record("request", "q9", b"", ("WARC-Concurrent-To", "gone")), record("response", "b", b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi"),
+        b"WARC/1.1\r\nWARC-Type: response\r\n\r\n", record("response", "c", b"z" * 5000)[:-100],
+    ])
+    members = gzip.compress(whole[:300]) + gzip.compress(whole[300:])
+    for stream in (io.BytesIO(whole), warc.Unpacked(members), warc.Unpacked(members + bytes(512)), warc.Unpacked(gzip.compress(whole + random.Random(1).randbytes(9000))[:-5000])):
+        rows = list(warc.parse(stream))
+        assert [r["record_id"] for r in rows][:7] == ["i", "a", "q1", "m1", "m2", "q9", "b"] and len(rows) <= 8
+    rows = list(warc.parse(io.BytesIO(whole)))
+    got = {r.record_id: r for r in warc.captures(spark.createDataFrame([tuple(r[c] for c in warc.RECORD.names) for r in rows], warc.RECORD)).collect()}
+    assert sorted(got) == ["a", "b"] and [x.id for x in got["a"].requests] == ["q1"] and [(x.id, x.fields) for x in got["a"].metadata] == [("m1", {"page-id": "5"}), ("m2", {"x": "y"})]
+    assert bytes(got["a"].response.payload) == b"hello" and got["b"].requests == [] and got["b"].metadata == []
+
+
 # -- near duplicates -------------------------------------------------------------------
 
 
@@ -422,7 +522,7 @@ def test_neighbours_against_brute_force(spark):
     x[300:600] = x[7]  # a third of all rows are one vector
     data = [(int(i), [float(v) for v in row]) for i, row in enumerate(x)] + [(1000, None), (1100, []), (1200, [0.0] * 16), (1300, [float("nan")] * 16), (1400, [1.0, None] * 8), (1500, [1.0]), (None, [1.0] * 16), (100, [float(v) for v in x[100]])]
     got = {}
-    for r in ann.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), least_window=250, share=0.3, block=128).collect():
+    for r in ann.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), block=128).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert sorted(got) == [i for i in range(0, 900, 100)]
     hit = 0
@@ -440,6 +540,27 @@ def test_neighbours_against_brute_force(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_recall_of_the_defaults_and_no_switch_by_size(spark, monkeypatch):
+    """With structure the window is a small part of a table larger than a block, and recall by brute force still holds."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 24)) * 4
+    x = (centres[rng.integers(0, 60, 9000)] + rng.normal(size=(9000, 24)) * 0.3).astype(np.float32)
+    docs = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    windows = []
+    measure = ann.measured_window
+    monkeypatch.setattr(ann, "measured_window", lambda *a: windows.append(measure(*a)) or windows[-1])
+    got = {}
+    for r in ann.search(docs).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    y = x.astype(float)
+    hit = 0
+    for q, found in got.items():
+        d = ((y - y[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(found & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 90 and hit >= 0.9 * 900 and windows[0] < 900
+
+
 # -- queries and pipeline ------------------------------------------------------------------
 
 
@@ -459,7 +580,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     data = [*[(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)], (0, clean[0], "en", "src0", 1), (None, " ".join(words(40, 900)), None, None, None)]
     spark.createDataFrame(data, DOC).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    want = {i: t for i, t in enumerate(clean)} | {-1: data[-1][1]}
+    want = {i: t for i, t in enumerate(clean)} | {None: data[-1][1]}
     parts = {}
     for r in packing.unpack(corpus_pipeline.run(spark, str(tmp_path))).collect():
         assert (r.doc_id, r.piece) not in parts
