@@ -34,7 +34,7 @@ CHUNK = 4096
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
 SHAPE = re.compile(r"(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9][0-9TZ:/_+-]*)\Z")
-NAME = re.compile(r"(?:[A-Za-z]+[/_-])*[A-Za-z]+[/_-]?[0-9]{0,4}(?:[/_-][A-Za-z]*[0-9]{0,4})*\Z")
+NAME = re.compile(r"[A-Za-z]++[0-9]{0,4}+(?:[/_-][A-Za-z]*+[0-9]{0,4}+)*+\Z")  # possessive: no way back, so linear
 #: An address, but not what stands between :// and a host; the host of a web address.
 ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+:/-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}|(?<=://)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![A-Za-z0-9@._-])")
 SEGMENT, PART = re.compile(r"[A-Za-z0-9+-]{16,}(?:=+\Z)?"), re.compile("[A-Za-z0-9]{6,}")
