@@ -1,16 +1,21 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the hashed 1- to 3-grams of every training text, summed by language in each task and then by Spark, so
-that only languages x DIMENSIONS sums reach the driver whatever the corpus size. The log-probability matrix (at most
-MAX_LANGUAGES x DIMENSIONS float32) is broadcast once and batches are scored by sparse gathers in numpy.
+that only languages x DIMENSIONS sums reach the driver whatever the corpus size, a block of LANGUAGES languages at a time. The log-probability matrix
+(DIMENSIONS float32 a language) is broadcast in those blocks and batches are scored by sparse gathers in numpy. There is no limit on languages; a model's
+size is their number times 256 KiB.
+
+Texts are read in pieces that hand their last letters on, so that the grams are those of the whole text.
 
 Defined cases. Null text or one without a letter: `und`, score 0. Null lang, null doc_id: no training row. A training set
-without any language: every text `und`. Ties between languages: the first in code-point order. Extra columns are ignored.
+without any language: every text `und`. Ties between languages: the first in code-point order. With `reject_unlike` also a text that evenly spread
+grams would explain better than any language: `und`, score 0. Extra columns pass through untouched. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix64
+from ._common import discard, mix64, staged
 
 UNDETERMINED = "und"
-#: Hash range of the n-grams and the most languages a model may hold: what bounds the broadcast matrix.
-DIMENSIONS, MAX_LANGUAGES = 1 << 16, 256
+#: Hash range of the n-grams, and languages of a block of the matrix.
+DIMENSIONS, LANGUAGES = 1 << 16, 64
 LONGEST_GRAM, SMOOTHING = 3, 0.5
 _CODES = np.random.Generator(np.random.PCG64(4099)).integers(1, 2**64 - 1, size=8, dtype=np.uint64) | np.uint64(1)
 _PIECE = 1 << 19
@@ -42,19 +47,33 @@ def _letters(points: np.ndarray) -> np.ndarray:
 
 
 def grams(text: str | None) -> Iterator[np.ndarray]:
-    """Hashed n-gram indices of a whole text, piece by piece: lower case, runs of other than letters as one space."""
-    for at in range(0, len(text or ""), _PIECE):
-        points = np.frombuffer(text[at : at + _PIECE].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """Hashed n-gram indices of a whole text, piece by piece: lower case, runs of other than letters as one space, a space at both ends."""
+    whole = (text or "").lower()
+    tail, inside, any_letter = np.array([32], dtype=np.uint64), False, False
+    for at in range(0, len(whole), _PIECE):
+        points = np.frombuffer(whole[at : at + _PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letter = _letters(points)
-        if not letter.any():
-            continue
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        kept = np.concatenate([[32], np.where(letter, points, 32)[keep], [32]]).astype(np.uint64)
-        for n in range(1, LONGEST_GRAM + 1):
-            total = np.zeros(len(kept) - n + 1, dtype=np.uint64)
+        keep[0] |= inside  # the first that is no letter after a word is its space
+        inside, any_letter = bool(letter[-1]), any_letter or bool(letter.any())
+        new = np.where(letter, points, 32)[keep].astype(np.uint64)
+        if any_letter:
+            yield from _grams_ending_in(tail, new)
+            tail = np.concatenate([tail, new])[-LONGEST_GRAM:]
+    if any_letter and inside:
+        yield from _grams_ending_in(tail, np.array([32], dtype=np.uint64))
+
+
+def _grams_ending_in(tail: np.ndarray, new: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of the n-grams of tail and new that end in new; the very first space counts with what follows it."""
+    first = len(tail) == 1
+    for n in range(1, LONGEST_GRAM + 1):
+        points = np.concatenate([tail[len(tail) - (n - 1 + first) :] if n - 1 + first <= len(tail) else tail, new])
+        if len(points) >= n:
+            total = np.zeros(len(points) - n + 1, dtype=np.uint64)
             for i in range(n):
-                total += kept[i : len(kept) - n + 1 + i] * _CODES[i]
+                total += points[i : len(points) - n + 1 + i] * _CODES[i]
             yield (mix64(total + np.uint64(n)) >> np.uint64(48)).astype(np.int64)
 
 
@@ -77,48 +96,60 @@ def counts_by_language(train: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probability matrix (DIMENSIONS x languages, float32)."""
-    langs = sorted(r[0] for r in train.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages: the matrix would not fit a broadcast")
-    found = counts_by_language(train).toPandas()
-    total = np.full((DIMENSIONS, len(langs)), SMOOTHING)
-    if len(found):
-        np.add.at(total, (found["gram"].to_numpy(), found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()), found["n"].to_numpy(dtype=float))
-    return langs, (np.log(total) - np.log(total.sum(axis=0))).astype(np.float32)
+class Model(NamedTuple):
+    """Languages in code-point order, and their log-probabilities by blocks of languages (DIMENSIONS x languages of the block, float32)."""
+
+    languages: list[str]
+    blocks: list[np.ndarray]
+
+
+def fit(train: DataFrame) -> Model:
+    """The model of all rows of train(text, lang)."""
+    found = staged(counts_by_language(train), "language-counts")
+    languages = sorted(r[0] for r in found.select("lang").distinct().collect())
+    blocks = []
+    for at in range(0, len(languages), LANGUAGES):
+        names = languages[at : at + LANGUAGES]
+        counts = found.filter(F.col("lang").isin(names)).toPandas()
+        total = np.full((DIMENSIONS, len(names)), SMOOTHING)
+        np.add.at(total, (counts["gram"].to_numpy(), counts["lang"].map({x: i for i, x in enumerate(names)}).to_numpy()), counts["n"].to_numpy(dtype=float))
+        blocks.append((np.log(total) - np.log(total.sum(axis=0))).astype(np.float32))
+    discard(found)
+    return Model(languages, blocks)
 
 
-def score_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
+def score_texts(texts: list[str | None], languages: list[str], blocks: list[np.ndarray], reject_unlike: bool = False) -> tuple[list[str], list[float]]:
     """Most probable language and its posterior under a flat prior."""
     out, sure = [], []
     for text in texts:
-        total, any_letter = np.zeros(max(1, len(langs))), False
+        totals, n = [np.zeros(b.shape[1]) for b in blocks], 0
         for g in grams(text):
-            any_letter = True
-            if langs:
+            n += len(g)
+            for total, block in zip(totals, blocks, strict=True):
                 for at in range(0, len(g), 65536):
-                    total += np.take(matrix, g[at : at + 65536], axis=0).sum(axis=0, dtype=np.float64)
-        if not any_letter or not langs:
+                    total += np.take(block, g[at : at + 65536], axis=0).sum(axis=0, dtype=np.float64)
+        whole = np.concatenate(totals) if totals else np.empty(0)
+        if not n or not len(whole) or reject_unlike and whole.max() < -n * np.log(DIMENSIONS):
             out.append(UNDETERMINED)
             sure.append(0.0)
             continue
-        best = int(total.argmax())
-        out.append(langs[best])
-        sure.append(float(1 / np.exp(total - total[best]).sum()))
+        best = int(whole.argmax())
+        out.append(languages[best])
+        sure.append(float(1 / np.exp(whole - whole[best]).sum()))
     return out, sure
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """docs with lang_pred and score added (columns of those names are replaced)."""
-    langs, matrix = model
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+def identify(docs: DataFrame, model: Model, text: str = "text", reject_unlike: bool = False, keep_text: bool = True) -> DataFrame:
+    """docs with lang_pred and score added (columns of those names are replaced); without the text column unless keep_text."""
+    spark, languages = docs.sparkSession, model.languages
+    shared = [spark.sparkContext.broadcast(b) for b in model.blocks]
     kept = docs.drop("lang_pred", "score")
-    schema = kept.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    names = [c for c in kept.columns if keep_text or c != text]
+    schema = kept.select(*[F.col(f"`{c}`") for c in names]).withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # the other columns pass through as they are
         for batch in batches:
-            found, sure = score_texts(batch.column(text).to_pylist(), langs, shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            found, sure = score_texts(batch.column(text).to_pylist(), languages, [b.value for b in shared], reject_unlike)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return kept.mapInArrow(run, schema)
