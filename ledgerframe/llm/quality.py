@@ -3,12 +3,15 @@
 Features are indicators of hashed n-grams: words and word pairs, and 1- to 3-grams of word shapes (case, length class, attached
 symbols, repetition of the word before), which carry over to words never seen. Class log-count ratios r come from the
 indicator counts of ALL training rows, summed by Spark. Each indicator is scaled by r, and a linear hinge-loss (squared) model
-is fitted by dual coordinate descent on a bounded sample: the SAMPLE training rows of smallest id hash. The margin becomes a
+is fitted by dual coordinate descent on a bounded sample of whole rows: those of smallest hash of id and text, SAMPLE at most, and no more than hold
+SAMPLE_INDICATORS indicators together (one row always). Every indicator of a sampled row takes part. The margin becomes a
 probability by a logistic fit on that sample's margins.
 
+Texts are read in pieces that hand their last words on, so that the indicators are those of the whole text.
+
 Defined cases. Null and empty texts have the bias feature alone and still get a score. Null or repeated labels:
-null labels are no training rows, repeated ones count as often as they stand. Null doc_id: held_out false, no training row. No training
-row of one class: every score is the share of label 1 (0.5 without any). Extra columns are ignored.
+null labels are no training rows, repeated ones count as often as they stand in the ratios, and once in the sample. Null doc_id: held_out false, no training row. No training
+row of one class: every score is the share of label 1 (0.5 without any). Extra columns pass through untouched. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _word_hashes, mix64
+from ._common import _word_hashes, discard, mix64, pieces, staged
 
 DIMENSIONS = 1 << 18
-#: Most rows that the hinge-loss fit sees, and most indicators (of smallest hash) it takes of one of them; ratios and scores use all rows and whole texts.
-SAMPLE, SAMPLE_FEATURES = 8192, 4096
+#: Most rows that the hinge-loss fit sees, and most indicators of all of them; ratios and scores use all rows.
+SAMPLE, SAMPLE_INDICATORS = 8192, 1 << 23
 SMOOTHING, PENALTY, EPOCHS = 1.0, 0.1, 12
 _PIECE = 1 << 20
 
@@ -38,25 +41,25 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 4
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct feature indices of a whole text; index 0 is the bias."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    found, at = [np.zeros(1, dtype=np.int64)], 0
-    data = np.frombuffer(raw, dtype=np.uint8)
-    while at < len(raw):
-        end = min(len(raw), at + _PIECE)
-        while end < len(raw) and not _SPACE[data[end]]:
-            end += 1
-        found.append(_features(data[at:end]))
-        at = end
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    found = [np.zeros(1, dtype=np.int64)]
+    last = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)  # hashes and shapes of the two words before
+    for piece in pieces(data, _SPACE, _PIECE):
+        words, shapes, again = _words(piece, last[0])
+        if len(words):
+            found.append(_features(words, shapes, again, last))
+            last = tuple(np.concatenate([x, y])[-2:] for x, y in zip(last, (words, shapes), strict=True))
     return np.unique(np.concatenate(found))
 
 
-def _features(data: np.ndarray) -> np.ndarray:
+def _words(data: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and shape of every word of data, and whether it repeats the word before; before: hashes of the words before data."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = ~_SPACE[data]
     edges = np.diff(inside)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(starts):
-        return np.zeros(1, dtype=np.int64)
+        return (np.empty(0, dtype=np.uint64),) * 3
     words = _word_hashes(data, _SPACE)
     kinds = _CLASS[data]
     shape = np.zeros(len(starts), dtype=np.uint64)
@@ -67,12 +70,17 @@ def _features(data: np.ndarray) -> np.ndarray:
     length = np.minimum(np.log2(ends - starts + 1), 5).astype(np.uint64)
     again = np.zeros(len(starts), dtype=np.uint64)
     again[1:] = words[1:] == words[:-1]
-    shape = mix64(((shape * np.uint64(8) + length) * np.uint64(2) + again) * np.uint64(5) + kinds[ends - 1])
-    out = [mix64(words + np.uint64(11)), mix64(shape + np.uint64(13)), mix64(again + np.uint64(12345))]
-    if len(words) > 1:
-        out += [mix64(words[:-1] * np.uint64(3) + words[1:]), mix64(shape[:-1] * np.uint64(5) + shape[1:])]
-    if len(words) > 2:
-        out.append(mix64(shape[:-2] * np.uint64(7) + shape[1:-1] * np.uint64(9) + shape[2:]))
+    again[0] = len(before) > 0 and before[-1] == words[0]
+    return words, mix64(((shape * np.uint64(8) + length) * np.uint64(2) + again) * np.uint64(5) + kinds[ends - 1]), again
+
+
+def _features(words: np.ndarray, shapes: np.ndarray, again: np.ndarray, before: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    out = [mix64(words + np.uint64(11)), mix64(shapes + np.uint64(13)), mix64(again + np.uint64(12345))]
+    w, s = (np.concatenate([x, y]) for x, y in zip(before, (words, shapes), strict=True))
+    if len(w) > 1:
+        out += [mix64(w[:-1] * np.uint64(3) + w[1:]), mix64(s[:-1] * np.uint64(5) + s[1:])]
+    if len(w) > 2:
+        out.append(mix64(s[:-2] * np.uint64(7) + s[1:-1] * np.uint64(9) + s[2:]))
     return np.unique((np.concatenate(out) % np.uint64(DIMENSIONS - 1)).astype(np.int64) + 1)
 
 
@@ -114,6 +122,29 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return weights
 
 
+def _sample(train: DataFrame) -> pd.DataFrame:
+    """(label, at) of the sampled rows: at holds all indicators of the row as little-endian int32."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [features(t).astype(np.int32) for t in batch.column("text").to_pylist()]
+            keys = [batch.column(c) for c in ("h", "t", "label")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([len(f) for f in own], pa.int64()), pa.array([f.tobytes() for f in own], pa.binary())], names=["h", "t", "label", "n", "at"])
+
+    keyed = train.select(F.xxhash64("doc_id").alias("h"), F.xxhash64(F.lit(1), "text").alias("t"), F.col("label").cast("int").alias("label"), "text")
+    # The last key of the sample, then all rows up to it: texts do not pass through the sort. Equal rows have equal keys and are taken once.
+    last = keyed.select("h", "t", "label").distinct().orderBy("h", "t", "label").limit(SAMPLE).agg(F.max(F.struct("h", "t", "label")).alias("k")).select("k.*").first()
+    upto = (F.col("h") < last.h) | (F.col("h") == last.h) & ((F.col("t") < last.t) | (F.col("t") == last.t) & (F.col("label") <= last.label))
+    rows = staged(keyed.filter(upto).mapInArrow(some, "h long, t long, label int, n long, at binary").dropDuplicates(["h", "t", "label"]), "quality-sample")
+    sizes = rows.select("h", "t", "label", "n").toPandas().sort_values(["h", "t", "label"])  # SAMPLE rows at most
+    n = max(1, int((sizes["n"].cumsum() <= SAMPLE_INDICATORS).sum()))
+    last = sizes.iloc[n - 1]
+    upto = (F.col("h") < int(last.h)) | (F.col("h") == int(last.h)) & ((F.col("t") < int(last.t)) | (F.col("t") == int(last.t)) & (F.col("label") <= int(last.label)))
+    out = rows.filter(upto).toPandas().sort_values(["h", "t", "label"])
+    discard(rows)
+    return out
+
+
 def fit(train: DataFrame) -> tuple[np.ndarray, float, float]:
     """(weight of every indicator, slope, offset) from train(doc_id, text, label): score = logistic(slope * sum of weights + offset)."""
     found = indicator_counts(train).toPandas()  # at most DIMENSIONS rows
@@ -130,16 +161,7 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float, float]:
     ratio[~seen] = 0
     ratio[0] = 1.0
 
-    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = [features(t) for t in batch["text"]]
-            own = [f if len(f) <= SAMPLE_FEATURES else np.sort(np.concatenate([f[:1], f[1:][np.argsort(mix64(f[1:].astype(np.uint64)))[: SAMPLE_FEATURES - 1]]])) for f in own]
-            yield pd.DataFrame({"label": batch["label"], "at": [f.astype(np.int32).tobytes() for f in own]})
-
-    order = F.xxhash64(F.col("doc_id"))
-    chosen = train.select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    cut = chosen.select(order.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    sample = chosen.filter(order <= F.lit(cut)).mapInPandas(some, "label int, at binary").limit(2 * SAMPLE).toPandas()
+    sample = _sample(train)
     at = [np.frombuffer(x, dtype=np.int32) for x in sample["at"]]
     y = np.where(sample["label"].to_numpy() == 1, 1, -1)
     rows = []
@@ -181,15 +203,16 @@ def score_texts(texts: list[str | None], model: tuple[np.ndarray, float, float])
     return out
 
 
-def classify(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
-    """docs with score (0 to 1) added; a column of that name is replaced. docs needs text."""
+def classify(docs: DataFrame, model: tuple[np.ndarray, float, float], keep_text: bool = True) -> DataFrame:
+    """docs with score (0 to 1) added; a column of that name is replaced. docs needs text, which is left out unless keep_text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("score")
-    schema = kept.withColumn("score", F.lit(0.0)).schema
+    names = [c for c in kept.columns if keep_text or c != "text"]
+    schema = kept.select(*[F.col(f"`{c}`") for c in names]).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # the other columns pass through as they are
         for batch in batches:
             scores = score_texts(batch.column("text").to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(scores, pa.float64())], names=[*names, "score"])
 
     return kept.mapInArrow(run, schema)
