@@ -5,14 +5,13 @@ windows of `width` words, a shorter one itself as one window. Per document row t
 length that the benchmark has) are one array; exploded, they probe the hash set, and each hit is verified by its very
 words before it counts. Only verified hits are shuffled, never texts.
 
-Scale. The windows are counted first, and a hash set of at most `broadcast_windows` of them is broadcast; a larger benchmark is
-cut by hash into blocks of that size, one scan each. Hits are reduced per document row to merged intervals and distinct windows, which are bounded by the row's own
+Scale. The windows are counted and weighed first, and a hash set of at most `broadcast_windows` of them and about `broadcast_bytes` is broadcast; a larger benchmark is
+cut by hash into blocks of that size, one scan each. The items of each distinct set of windows are gathered once, however many documents share it. Hits are reduced per document row to merged intervals and distinct windows, which are bounded by the row's own
 text. One row out per row in.
 
 Defined cases. Null or wordless text: no words, no hits. A null or wordless item has no window. Items
 that repeat a text each count; rows that repeat an item_id count once. A null item_id is left out of the item list, but its windows are hits. Null doc_id: scanned, returned with
-null. Repeated rows: each is scanned and returned. Other columns of documents pass through untouched; clashing names cannot occur, since
-inner columns live in one struct.
+null. Repeated rows: each is scanned and returned. Other columns of documents pass through untouched; inner columns take names that docs does not have.
 """
 
 from __future__ import annotations
@@ -20,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import fresh, staged
 
 #: What parts words: every ASCII character but digits and lower-case letters.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WIDTH, BROADCAST_WINDOWS = 10, 2_000_000
+WIDTH, BROADCAST_WINDOWS, BROADCAST_BYTES = 10, 2_000_000, 256 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -81,11 +80,12 @@ def _hits_of(base: DataFrame, windows: DataFrame, lengths: list[int], marks: boo
     return kept.select("row", F.when(is_mark, F.col("doc")).alias("doc"), F.when(is_mark, F.col("n_words")).alias("n_words"), "at", (F.col("at") + F.col("length")).alias("end"), "id")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS, marks: bool = True) -> tuple[DataFrame, DataFrame]:
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS, marks: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """(hits, windows) of docs(key columns, text): see _hits_of; windows tells (id, items)."""
     windows = staged(benchmark_windows(benchmark, width).withColumn("id", F.xxhash64("length", "words")), "benchmark-windows")
-    sizes = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `width` rows
-    blocks = max(1, -(-sum(sizes.values()) // broadcast_windows))
+    weight = F.aggregate("words", F.lit(64).cast("long"), lambda a, w: a + F.octet_length(w) + 24)
+    sizes = {r["length"]: (r["n"], r["b"]) for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("b")).collect()}  # at most `width` rows
+    blocks = max(1, -(-sum(n for n, _ in sizes.values()) // broadcast_windows), -(-sum(b for _, b in sizes.values()) // broadcast_bytes))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), words_of(F.col("text").cast("string")).alias("words"))
     if blocks > 1:
         base = staged(base, "decontamination-words")
@@ -117,26 +117,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bro
     span = F.when(F.col("at") >= 0, F.struct("at", "end"))
     rows = found.groupBy("row").agg(F.max("doc").alias("doc"), F.max("n_words").alias("n_words"), F.collect_set(span).alias("raw"), F.collect_set("id").alias("ids"))
     rows = staged(rows.select("row", F.col("doc.doc_id").alias("doc_id"), "n_words", _merged(F.col("raw")).alias("spans"), "ids"), "decontamination-rows")
-    per_row = rows.select("row", F.explode("ids").alias("id")).join(windows, "id").select("row", F.explode("items").alias("item")).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    # Items by distinct set of windows: a passage that stands in many documents is looked up once for all of them.
+    rows = rows.withColumn("ids", F.array_sort("ids"))
+    sets = rows.filter("size(ids) > 0").select("ids").distinct()
+    of_set = sets.select("ids", F.explode("ids").alias("id")).join(windows, "id").select("ids", F.explode("items").alias("item")).groupBy("ids").agg(F.sort_array(F.collect_set("item")).alias("items"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
-    return rows.join(per_row, "row", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"), "spans")
+    return rows.join(of_set, "ids", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"), "spans")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_texts: int = 1_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """The rows of docs that hold no benchmark window, with all columns as they were.
 
-    Contamination depends on the text alone, so the digests of contaminated texts, each once, decide: broadcast if they are at most
-    broadcast_texts, else joined by shuffle.
+    Contamination depends on the text alone, so the digests of contaminated texts, each once, decide; Spark broadcasts them if they are few.
     """
-    digest = F.sha2(F.col("text").cast("string"), 256)
+    own = fresh("dirty", docs.columns)
+    digest = F.unhex(F.sha2(F.col("text").cast("string"), 256))
     found, _ = hits(docs.select(F.col("text"), digest.alias("digest")), benchmark, width, broadcast_windows, marks=True)
     # The digest stands in the mark of its row only; a hit finds it by the row.
-    dirty = found.groupBy("row").agg(F.max("doc").alias("doc"), F.max("id").alias("id")).filter("id IS NOT NULL").select(F.col("doc.digest").alias("__digest")).distinct()
-    dirty = staged(dirty, "contaminated-texts")
-    if dirty.count() <= broadcast_texts:
-        dirty = F.broadcast(dirty)
-    return docs.join(dirty, digest == F.col("__digest"), "left_anti")
+    dirty = found.groupBy("row").agg(F.max("doc").alias("doc"), F.max("id").alias("id")).filter("id IS NOT NULL").select(F.col("doc.digest").alias(own)).distinct()
+    return docs.join(staged(dirty, "contaminated-texts"), digest == F.col(own), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, mask: str = " ") -> DataFrame:
@@ -144,18 +144,20 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, mask
 
     A text is cut into an alternation of breaks and words (breaks first, perhaps empty), so that words keep their positions.
     """
-    columns = docs.columns
-    tagged = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "span-removal")
-    found, _ = hits(tagged.select(F.col("__row").alias("own"), "text"), benchmark, width)
+    own, cut_at = fresh("own_row", docs.columns), fresh("spans", docs.columns)
+    tagged = staged(docs.withColumn(own, F.monotonically_increasing_id()), "span-removal")
+    found, _ = hits(tagged.select(F.col(own).alias("own"), "text"), benchmark, width)
     rows = found.groupBy("row").agg(F.max("doc").alias("doc"), F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "end"))).alias("raw")).filter("size(raw) > 0")
-    spans = rows.select(F.col("doc.own").alias("__row"), _merged(F.col("raw")).alias("__spans"))
+    spans = rows.select(F.col("doc.own").alias(own), _merged(F.col("raw")).alias(cut_at))
     text = F.col("text").cast("string")
     words = F.regexp_extract_all(text, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))
     breaks = F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
-    inside = lambda i: F.exists("__spans", lambda s: (i >= s["start"]) & (i < s["end"]))
-    opens = lambda i: F.exists("__spans", lambda s: i == s["start"])
-    joins = lambda i: F.exists("__spans", lambda s: (i > s["start"]) & (i < s["end"]))
-    parts = F.transform(words, lambda w, i: F.concat(F.when(joins(i), F.lit("")).otherwise(F.get(breaks, i)), F.when(opens(i), F.lit(mask)).when(inside(i), F.lit("")).otherwise(w)))
-    cut = F.concat(F.array_join(parts, ""), F.get(breaks, F.size(words)))
-    out = tagged.join(spans, "__row", "left").withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(cut))
-    return out.select(*columns)
+    # One array of (break, word after it), made once per row: an expression within a lambda would be worked out for each word.
+    pairs = F.arrays_zip(breaks.alias("gap"), words.alias("word"))
+    span_of = lambda i: F.filter(cut_at, lambda s: (i >= s["start"]) & (i < s["end"]))
+    inside = lambda i: F.size(span_of(i)) > 0
+    opens = lambda i: F.exists(cut_at, lambda s: i == s["start"])
+    piece = lambda x, i: F.when(opens(i), F.concat(x["gap"], F.lit(mask))).when(inside(i), F.lit("")).otherwise(F.concat(x["gap"], F.coalesce(x["word"], F.lit(""))))
+    cut = F.array_join(F.transform(pairs, piece), "")
+    out = tagged.join(spans, own, "left").withColumn("text", F.when(F.col(cut_at).isNull(), text).otherwise(cut))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
