@@ -8,7 +8,7 @@ Rows of the ids stack to the packed matrix (`matrix`).
 
 A task holds one batch of at most `batch_tokens` tokens and one document; batches depend on the task's rows alone, so a lost task is redone alike.
 
-Defined cases. Null text: no tokens, no piece; empty text: the separator alone. Null doc_id: packed, listed as -1. Repeated rows are packed each.
+Defined cases. Null text: no tokens, no piece; empty text: the separator alone. Null doc_id: packed, listed as null. Repeated rows are packed each.
 Empty table: no rows. Other columns are ignored.
 """
 
@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -103,8 +102,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, batch_tokens: int = BATC
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text is None:
                     continue
-                whole = np.array([*code.encode_ordinary(text), separator], dtype=kind)
-                doc = -1 if doc is None else doc
+                whole = np.append(np.array(code.encode_ordinary(text), dtype=kind), kind.type(separator))
                 for p in range(0, len(whole), row_tokens):
                     ids.append(whole[p : p + row_tokens])
                     owner.append((doc, p // row_tokens))
@@ -126,16 +124,18 @@ def matrix(rows: list, row_tokens: int = ROW_TOKENS, wide: bool = False) -> np.n
 def unpack(packed: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, piece, ids array<int>) of every segment: the way back."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = "<u2" if encoding(vocabulary).n_vocab < 1 << 16 else "<u4"
         for batch in batches:
-            out = []
-            for raw, ends, docs, pieces in zip(batch["ids"], batch["cu_seqlens"], batch["doc_ids"], batch["pieces"], strict=True):
+            owner, piece, ids = [], [], []
+            for raw, ends, docs, parts in zip(*[batch.column(c).to_pylist() for c in ("ids", "cu_seqlens", "doc_ids", "pieces")], strict=True):
                 whole = np.frombuffer(raw, dtype=kind).astype(np.int32)
-                out += [(d, p, whole[a:b]) for d, p, a, b in zip(docs, pieces, ends[:-1], ends[1:], strict=True)]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "ids"])
+                owner += docs
+                piece += parts
+                ids += [whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(piece, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "piece", "ids"])
 
-    return packed.mapInPandas(run, "doc_id long, piece int, ids array<int>")
+    return packed.mapInArrow(run, "doc_id long, piece int, ids array<int>")
 
 
 def write(packed: DataFrame, path: str) -> None:
