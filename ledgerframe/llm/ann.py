@@ -6,9 +6,10 @@ its rank. A query looks at the ranks within `window` of its own on every curve:
 number of ranks, a query visits the blocks that its window touches, and each block yields the nearest of its points. The
 blocks' answers merge, and distances are taken in double precision on the original vectors.
 
-Recall. The window is `share` of the number of points, and `least_window` at least. Vectors without structure (as the synthetic
-ones, almost isotropic in 64 dimensions) leave no other way: there the recall of a fixed window falls as the table
-grows, for this and any other index that visits few points. With structure a smaller share does.
+Recall. The window is measured, not set: for PROBES queries (those of smallest hash) the true neighbours are found by a scan, and the
+window is the least number of ranks within which `recall` of them lie on some curve. Data with structure get a small window. Vectors without any (as the
+synthetic ones, almost isotropic in 64 dimensions) leave no other way than a large one: there the recall of a fixed window falls as the table
+grows, for this and any other index that visits few points. The rule is the same at every size.
 
 Defined cases. Vectors null, empty, zero, of another length than most, or holding null or non-finite components take no part; nor do null vec_ids. Equal
 distances: smaller vec_id first. Fewer than k other points: all of them. Repeated vec_ids are one (their vectors each count).
@@ -20,13 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import staged
 
-CURVES, DIMS, BITS, SHARE, LEAST_WINDOW, BLOCK = 8, 8, 7, 0.10, 2000, 4096
+CURVES, DIMS, BITS, BLOCK = 8, 8, 7, 4096
+#: Queries whose recall is measured against a scan, and the share of their true neighbours that the window must reach.
+PROBES, RECALL = 256, 0.95
 _SEED = 23
 
 
@@ -87,7 +91,48 @@ def _on_curves(points: DataFrame, dim: int, scale: float, curves: int, dims: int
     return points.select("point", "v").mapInPandas(run, "curve int, key long, point long, raw binary")
 
 
-def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, share: float = SHARE, least_window: int = LEAST_WINDOW, block: int = BLOCK) -> DataFrame:
+def true_neighbours(points: DataFrame, probes: list, k: int) -> DataFrame:
+    """(probe, point, score) of the k nearest other points of each probe (rows with point and v), by a scan of points(point, v)."""
+    names = np.array([p["point"] for p in probes], dtype=np.int64)
+    asked = np.array([p["v"] for p in probes], dtype=np.float64)
+    shared = points.sparkSession.sparkContext.broadcast((names, asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        held_d, held_p = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=np.int64)
+        for batch in batches:
+            column = batch.column("v")
+            x, here = column.flatten().to_numpy().reshape(len(column), -1), batch.column("point").to_numpy()
+            for at in range(0, len(x), 4096):
+                part, ids = x[at : at + 4096], here[at : at + 4096]
+                d = np.maximum((part * part).sum(axis=1)[None, :] - 2 * q @ part.T + (q * q).sum(axis=1)[:, None], 0)
+                d[names[:, None] == ids[None, :]] = np.inf
+                held_d, held_p = np.hstack([held_d, d]), np.hstack([held_p, np.broadcast_to(ids, d.shape)])
+                if held_d.shape[1] > k:
+                    best = np.argpartition(held_d, k, axis=1)[:, :k]
+                    held_d, held_p = np.take_along_axis(held_d, best, 1), np.take_along_axis(held_p, best, 1)
+        row, col = np.nonzero(np.isfinite(held_d))
+        yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(held_p[row, col]), pa.array(held_d[row, col])], names=["probe", "point", "score"])
+
+    found = points.select("point", "v").mapInArrow(run, "probe long, point long, score double")
+    return found.withColumn("n", F.row_number().over(W.partitionBy("probe").orderBy("score", "point"))).filter(F.col("n") <= k).select("probe", "point", "score")
+
+
+def measured_window(ranked: DataFrame, points: DataFrame, asked: DataFrame, k: int, recall: float, probes: int) -> int:
+    """The least window of ranks that reaches `recall` of the true neighbours of at most `probes` of the queries asked(point)."""
+    chosen = asked.select("point").distinct().orderBy(F.xxhash64("point"), "point").limit(probes)
+    rows = points.join(chosen, "point").select("point", "v").collect()  # bounded by probes
+    if not rows:
+        return 1
+    true = true_neighbours(points, rows, k)
+    place = ranked.select("point", "curve", "rank")
+    pairs = staged(true, "ann-true").join(place.withColumnsRenamed({"point": "probe", "rank": "own"}), "probe").join(place, ["point", "curve"])
+    least = pairs.groupBy("probe", "point").agg(F.min(F.abs(F.col("rank") - F.col("own"))).alias("far"))
+    far = sorted(r["far"] for r in least.select("far").collect())  # at most probes x k rows
+    return max(1, far[min(len(far) - 1, int(np.ceil(recall * len(far))) - 1)]) if far else 1
+
+
+def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, recall: float = RECALL, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of vectors(vec_id, embedding): Euclidean distances to the k nearest found."""
     rows = staged(usable(vectors).distinct(), "ann-vectors")
     # Of equal vectors the k + 1 smallest ids are enough; the limit by rank works before the shuffle too.
@@ -97,7 +142,6 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return vectors.sparkSession.createDataFrame([], schema)
-    window = max(least_window, int(share * n))
     parts = max(curves, -(-n * curves // 50_000))
     keyed = _on_curves(points, dim, float(np.sqrt(mass / dim)), curves, dims, bits)
     ordered = keyed.repartitionByRange(parts, "curve", "key", "point").sortWithinPartitions("curve", "key", "point")
@@ -108,7 +152,8 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
     starts = sizes.select("part", F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     ranked = placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + inner - F.col("curve").cast("long") * n)
     # Query rows meet the blocks that their windows touch. Blocks hold `block` points; the queries of a block are dealt to salts of bounded size.
-    asked = rows.filter(is_query).withColumnRenamed("vec_id", "query_id").join(points.select("v", "point"), "v").select("query_id", "point")
+    asked = staged(rows.filter(is_query).withColumnRenamed("vec_id", "query_id").join(points.select("v", "point"), "v").select("query_id", "point"), "ann-queries")
+    window = measured_window(ranked, points, asked, k, recall, probes)
     touching = F.sequence(F.greatest(F.floor((F.col("rank") - window) / block), F.lit(0)), F.least(F.floor((F.col("rank") + window) / block), F.lit((n - 1) // block)))
     many = asked.count()
     salts = max(1, -(-int(many * min(1.0, (2 * window + block) / n)) // 20_000))
