@@ -39,7 +39,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter("quality IN (0, 1)").select("doc_id", F.col("quality").alias("label"))
     # One plan at every size: labels grow with the documents, so both sides are shuffled and merged, never broadcast.
     train = staged(docs.filter(share != 1).join(labels.filter(share != 1).hint("merge"), "doc_id"), "quality-train")
-    scored = quality.classify(docs, quality.fit(train))
+    scored = quality.classify(docs, quality.fit(train), keep_text=False)
     return scored.select("doc_id", F.coalesce(share == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -51,7 +51,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    found = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False)
     return found.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "refers_to")
 
 
@@ -67,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     share = id_hash_mod("doc_id", 4)
     model = language_id.fit(docs.filter(share != 2))
-    found = language_id.identify(docs.select("doc_id", "text"), model)
+    found = language_id.identify(docs.select("doc_id", "text"), model, keep_text=False)
     return found.select("doc_id", F.coalesce(share == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
