@@ -22,20 +22,19 @@ PACK_TOKENS = 1 << 17
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents whose language can be told; those without a letter go, and those that no learned language explains better than chance."""
     model = language_id.fit(docs)
-    if not model[0]:  # no row names a language: only texts without a letter are undetermined
+    if not model.languages:  # no row names a language: only texts without a letter are undetermined
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = language_id.identify(docs, model)
-    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
+    named = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns})  # columns of docs may be called like those of the operator
+    found = language_id.identify(named, model, text="own_text", reject_unlike=True)
+    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*[F.col(f"`own_{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8 or more): the one of smallest doc_id, once."""
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
-    kept = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each near-duplicate group (five-word shingles, similarity 0.8 or more): that of smallest doc_id. Rows are told apart
+    by themselves, so unlike texts under one doc_id all stay, and copies under null ids go."""
+    return near_dedup.drop_copies(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
