@@ -36,9 +36,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def sha1_base32(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column: 20 bits, so four letters, of every five hex digits."""
-    digits = F.sha1(payload)
+def base32_of_sha1(digits: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: 20 bits, so four letters, of every five digits."""
     letters = F.array(*[F.lit(c) for c in ALPHABET])
     out = []
     for i in range(0, 40, 5):
@@ -55,23 +54,24 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def write(pages: DataFrame, path: str, file_bytes: int = 64 << 20) -> None:
-    """Archives of pages(page_id, url, html) under path."""
+def write(pages: DataFrame, path: str, file_bytes: int = 256 << 20) -> None:
+    """Archives of pages(page_id, url, html) under path, of about file_bytes of payload, or less so that all cores have work."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.col("url").cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"))
-    page = page.withColumn("digest", sha1_base32(F.encode("html", "UTF-8")))
-    seen = staged(page.select("page_id", "digest", F.octet_length("html").cast("long").alias("bytes")), "warc-digests")
+    page = page.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
+    seen = staged(page.filter("page_id IS NOT NULL").select("page_id", "sha", F.octet_length("html").cast("long").alias("bytes")), "warc-digests")
     total = seen.agg(F.coalesce(F.sum(F.col("bytes") + 1024), F.lit(0))).first()[0]
-    shared = seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = seen.join(shared, "digest").filter("page_id > first").select("page_id", "digest").distinct().withColumn("revisit", F.lit(True))
-    # Null ids never revisit: they are spread by their digest and the rest by page_id, so that no file gathers one of them.
-    part = F.coalesce(F.xxhash64("page_id"), F.xxhash64("digest", "url"))
-    page = page.join(again, ["page_id", "digest"], "left").withColumn("revisit", F.coalesce("revisit", F.lit(False))).repartition(max(1, -(-total // file_bytes)), part)
-    name = F.sha1(F.concat_ws("|", F.col("page_id").cast("string"), "url", "digest", F.monotonically_increasing_id().cast("string")).cast("binary"))
-    page = page.withColumn("name", name)
+    shared = seen.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = seen.join(shared, "sha").filter("page_id > first").select("page_id", "sha").distinct().withColumn("revisit", F.lit(True))
+    cores = page.sparkSession.sparkContext.defaultParallelism
+    files = max(1, -(-total // file_bytes), min(2 * cores, -(-total // (4 << 20))))
+    # One shuffle of the payloads, for the join and the files alike. Null ids never revisit and stay where they are, so that no task gathers them.
+    named = page.filter("page_id IS NOT NULL").repartition(files, "page_id", "sha").join(again, ["page_id", "sha"], "left")
+    page = named.unionByName(page.filter("page_id IS NULL"), allowMissingColumns=True)
+    name = F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), "url", "sha", F.monotonically_increasing_id().cast("string")).cast("binary"), 512)
+    page = page.select("page_id", "url", "html", F.coalesce("revisit", F.lit(False)).alias("revisit"), base32_of_sha1(F.col("sha")).alias("digest"), name.alias("name"))
     for i, which in enumerate(("response_id", "request_id", "metadata_id")):
-        h = F.sha1(F.concat(F.lit(str(i)), "name").cast("binary"))
-        page = page.withColumn(which, F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">")))
+        page = page.withColumn(which, F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring("name", 32 * i + a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
     uri = ("WARC-Target-URI", F.col("url"))
     answer = _record(
