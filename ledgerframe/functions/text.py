@@ -26,7 +26,7 @@ def split_camel(name: Column) -> Column:
 def label_from_name(qname: Column) -> Column:
     """A readable label of an element name; a TextBlock suffix goes first."""
     local = F.substring_index(qname, ":", -1)
-    return split_camel(F.regexp_replace(local, "TextBlock$", ""))
+    return F.regexp_replace(F.regexp_replace(local, "TextBlock$", ""), "([a-z])([A-Z])", "$1 $2")
 
 
 def local_name(qname: Column) -> Column:
@@ -66,26 +66,56 @@ def digits(text: Column) -> Column:
 
 #: Item captions of the current report, by number.
 ITEM_CAPTIONS = {
-    "1.01": "Entry into a Material Definitive Agreement", "1.02": "Termination of a Material Definitive Agreement", "1.03": "Bankruptcy or Receivership",
-    "2.01": "Completion of Acquisition or Disposition of Assets", "2.02": "Results of Operations and Financial Condition", "2.03": "Creation of a Direct Financial Obligation",
-    "3.01": "Notice of Delisting", "4.01": "Changes in Registrant's Certifying Accountant", "4.02": "Non-Reliance on Previously Issued Financial Statements",
-    "5.02": "Departure or Election of Directors or Certain Officers", "5.03": "Amendments to Articles or Bylaws", "5.07": "Submission of Matters to a Vote of Security Holders",
-    "7.01": "Regulation FD Disclosure", "8.01": "Other Events", "9.01": "Financial Statements and Exhibits",
-}
+    "1.01": "Entry into a Material Definitive Agreement",
+    "1.02": "Termination of a Material Definitive Agreement",
+    "1.03": "Bankruptcy or Receivership",
+    "1.04": "Mine Safety \u2014 Reporting of Shutdowns and Patterns of Violations",
+    "1.05": "Material Cybersecurity Incidents",
+    "2.01": "Completion of Acquisition or Disposition of Assets",
+    "2.02": "Results of Operations and Financial Condition",
+    "2.03": "Creation of a Direct Financial Obligation",
+    "2.04": "Triggering Events That Accelerate a Financial Obligation",
+    "2.05": "Costs Associated with Exit or Disposal Activities",
+    "2.06": "Material Impairments",
+    "3.01": "Notice of Delisting or Failure to Satisfy a Listing Rule",
+    "3.02": "Unregistered Sales of Equity Securities",
+    "3.03": "Material Modification to Rights of Security Holders",
+    "4.01": "Changes in Registrant's Certifying Accountant",
+    "4.02": "Non-Reliance on Previously Issued Financial Statements",
+    "5.01": "Changes in Control of Registrant",
+    "5.02": "Departure or Election of Directors and Officers",
+    "5.03": "Amendments to Articles or Bylaws; Change in Fiscal Year",
+    "5.04": "Temporary Suspension of Trading Under Employee Benefit Plans",
+    "5.05": "Amendment to Code of Ethics, or Waiver of a Provision",
+    "5.06": "Change in Shell Company Status",
+    "5.07": "Submission of Matters to a Vote of Security Holders",
+    "5.08": "Shareholder Director Nominations",
+    "6.01": "ABS Informational and Computational Material",
+    "6.02": "Change of Servicer or Trustee",
+    "6.03": "Change in Credit Enhancement or External Support",
+    "6.04": "Failure to Make a Required Distribution",
+    "6.05": "Securities Act Updating Disclosure",
+    "7.01": "Regulation FD Disclosure",
+    "8.01": "Other Events",
+    "9.01": "Financial Statements and Exhibits",
+}
 
 
 def parse_items(text: Column) -> Column:
-    """Distinct item numbers of a comma-, semicolon- or space-separated list, in order."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\d{1,2}\.\d{2})"), F.lit(1)))
+    """Distinct item codes of a comma- or semicolon-separated list, in order; a caption after the code and a leading `Item` are dropped."""
+    bare = lambda x: F.trim(F.regexp_replace(F.trim(x), "^Item", ""))
+    codes = F.transform(F.split(F.coalesce(text, F.lit("")), "[,;]"), lambda x: F.regexp_replace(F.trim(F.substring_index(bare(x), " ", 1)), "[.:]+$", ""))
+    return F.array_distinct(F.filter(codes, lambda x: x != ""))
 
 
 def describe_items(items: Column) -> Column:
+    """array<struct<item, caption>>; an unknown code has an empty caption."""
     names = F.create_map(*[F.lit(x) for kv in ITEM_CAPTIONS.items() for x in kv])
-    return F.transform(items, lambda i: F.struct(i.alias("item"), F.coalesce(F.try_element_at(names, i), F.lit("Item")).alias("caption")))
+    return F.transform(items, lambda i: F.struct(i.alias("item"), F.coalesce(F.try_element_at(names, i), F.lit("")).alias("caption")))
 
 
-def is_earnings_release(form: Column, items: Column) -> Column:
-    return form.startswith("8-K") & F.array_contains(items, "2.02")
+def is_earnings_release(items: Column) -> Column:
+    return F.coalesce(F.array_contains(items, "2.02"), F.lit(False))
 
 
 def cover_form(text: Column) -> Column:

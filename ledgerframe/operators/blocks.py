@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import split_camel
-
 _TITLE = r"(?is)^\s*(\d+)\s*-\s*(Statement|Disclosure|Document|Schedule)\s*-\s*(.*?)\s*$"
 _SUFFIX = r"(?i)\s*\((Details?|Tables?|Policies|Parentheticals?)\b[^)]*\)"
 _NUMBER_ONLY = r"(?i)^(?:note\s*)?\d+[a-z]?\.?$"
@@ -37,28 +35,39 @@ def parse_level(category: Column, name: Column) -> Column:
     return F.struct(level.alias("level"), F.coalesce(F.nullif(family, F.lit("")), name).alias("family"), F.when(parted, tail).alias("subtitle"))
 
 
-#: Kinds of statement: words that name them, in order of precedence.
+#: Words that name a kind of statement, in order of precedence.
 STATEMENT_WORDS = (
-    ("comprehensive_income", ("comprehensive income", "comprehensive loss")), ("cash_flow", ("cash flow",)), ("equity", ("stockholders' equity", "shareholders' equity", "changes in equity")),
-    ("balance_sheet", ("balance sheet", "financial position", "financial condition")), ("income_statement", ("statements of income", "statement of income", "operations", "earnings", "income statement", "profit or loss")),
-)
+    ("cash_flow_statement", ("cash flow",)),
+    ("balance_sheet", ("balance sheet", "financial position")),
+    ("equity_statement", ("stockholders' equity", "shareholders' equity", "changes in equity")),
+    ("income_statement", ("comprehensive income", "operations", "income", "earnings")),
+)
+#: Local names of the root concepts of statements.
+STATEMENT_ROOTS = {
+    "StatementOfFinancialPositionAbstract": "balance_sheet",
+    "BalanceSheetAbstract": "balance_sheet",
+    "StatementOfCashFlowsAbstract": "cash_flow_statement",
+    "StatementOfChangesInEquityAbstract": "equity_statement",
+    "StatementOfStockholdersEquityAbstract": "equity_statement",
+    "StatementOfPartnersCapitalAbstract": "equity_statement",
+    "IncomeStatementAbstract": "income_statement",
+    "StatementOfComprehensiveIncomeAbstract": "income_statement",
+    "StatementOfIncomeAndComprehensiveIncomeAbstract": "income_statement",
+}
 
 
 def statement_kind(definition: Column, role_uri: Column, root: Column) -> Column:
-    """Kind of statement by the title, else the role's words, else the root concept's; null for parentheticals and other sections."""
-    def by(text: Column) -> Column:
-        out = None
-        for kind, words in STATEMENT_WORDS:
-            hit = F.lit(False)
-            for w in words:
-                hit |= F.contains(text, F.lit(w))
-            out = F.when(hit, kind) if out is None else out.when(hit, kind)
-        return out
-
-    title = F.lower(F.coalesce(definition, F.lit("")))
-    words = lambda c: F.lower(split_camel(F.regexp_replace(F.substring_index(F.coalesce(c, F.lit("")), "/", -1), "^.*:", "")))
-    aside = F.contains(title, F.lit("parenthetical")) | F.contains(F.lower(role_uri), F.lit("parenthetical"))
-    return F.when(~aside & ~F.contains(title, F.lit("- disclosure -")), F.coalesce(by(title), by(words(role_uri)), by(words(root))))
+    """Kind of statement by the title's words, else those of the role's last part, else by the root concept; a parenthetical is none."""
+    plain = lambda c: F.lower(F.replace(F.coalesce(c, F.lit("")), F.lit("\u2019"), F.lit("'")))
+    says = lambda text, words: F.greatest(F.lit(False), *[F.contains(text, F.lit(w)) for w in words])
+    by_words = lambda text: F.coalesce(*[F.when(says(text, words), kind) for kind, words in STATEMENT_WORDS])
+    title = plain(definition)
+    last = F.coalesce(F.nullif(F.regexp_extract(role_uri, "[^/#]*$", 0), F.lit("")), role_uri)
+    role = plain(F.regexp_replace(F.regexp_replace(last, "([a-z0-9])([A-Z])", "$1 $2"), "[-_.]+", " "))
+    known = F.create_map(*[F.lit(x) for pair in STATEMENT_ROOTS.items() for x in pair])
+    by_root = F.try_element_at(known, F.substring_index(F.coalesce(root, F.lit("")), ":", -1))
+    aside = lambda text: F.contains(text, F.lit("parenthetical"))
+    return F.when(~aside(title), F.coalesce(by_words(title), F.when(~aside(role), F.coalesce(by_words(role), by_root))))
 
 
 def roots(arcs: DataFrame) -> DataFrame:
@@ -68,9 +77,9 @@ def roots(arcs: DataFrame) -> DataFrame:
 
 
 def classify(networks: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(seq, role_uri, statement) of presentation networks."""
-    first = arcs.join(roots(arcs).withColumnRenamed("qname", "from_qname"), ["network_seq", "from_qname"], "left_semi").groupBy(F.col("network_seq").alias("seq")).agg(F.min_by("from_qname", "seq").alias("root"))
-    shown = networks.filter("kind = 'presentation'").join(first, "seq", "left")
+    """(seq, role_uri, statement) of presentation networks. A tree with several roots has none that speaks for it."""
+    single = roots(arcs).groupBy(F.col("network_seq").alias("seq")).agg(F.min("qname").alias("root"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    shown = networks.filter("kind = 'presentation'").join(single, "seq", "left")
     return shown.select("seq", "role_uri", statement_kind(F.col("definition"), F.col("role_uri"), F.col("root")).alias("statement"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import local_name, prefix_of
 from ..functions.values import precision, tolerance
-from .facts import consolidated, most_precise
+from .facts import consolidated, most_precise, stated
 
 #: Total and counterpart by local name.
 BALANCE_PAIRS = (("Assets", "LiabilitiesAndStockholdersEquity"), ("Assets", "EquityAndLiabilities"))
@@ -65,22 +65,22 @@ def balance(facts: DataFrame) -> DataFrame:
 
 
 def duplicate_conflicts(facts: DataFrame) -> DataFrame:
-    """Coordinates whose facts disagree: each fact is compared with the best so far (most precise, first of equals) within the coarser tolerance.
+    """Coordinates whose facts disagree: each fact is compared with the best so far (most precise, first of equals): two numbers within the coarser
+    tolerance, anything else by its text.
 
-    One row per coordinate: its first conflict, as the values compared.
+    One row per coordinate: its first conflict, as the values compared (kept_text and rival_text for texts).
     """
     key = W.partitionBy("report_id", "concept", "period_id", "unit_id", "dims_key", "language").orderBy("seq")
     # Best so far = the row of greatest (precision, -seq) before this one; a running maximum of a struct says which.
-    p = precision(F.col("decimals"))
-    rank = F.struct(p.alias("p"), (-F.col("seq")).alias("s"), F.col("numeric_value").alias("v"), F.col("decimals").alias("d"))
+    text = F.coalesce(stated(facts, "value_str"), F.col("numeric_value").cast("string"))
+    rank = F.struct(precision(F.col("decimals")).alias("p"), (-F.col("seq")).alias("s"), F.col("numeric_value").alias("v"), F.col("decimals").alias("d"), text.alias("t"))
     seen = facts.withColumn("_best", F.max(rank).over(key.rowsBetween(W.unboundedPreceding, -1)))
     allowed = F.greatest(tolerance(F.col("decimals")), tolerance(F.col("_best.d")))
     numbers = F.col("numeric_value").isNotNull() & F.col("_best.v").isNotNull()
-    off = F.col("_best").isNotNull() & F.when(numbers, F.abs(F.col("numeric_value") - F.col("_best.v")) > allowed).otherwise(~F.col("numeric_value").eqNullSafe(F.col("_best.v")))
-    first = W.partitionBy("report_id", "concept", "period_id", "unit_id", "dims_key", "language").orderBy("seq")
+    off = F.col("_best").isNotNull() & F.when(numbers, F.abs(F.col("numeric_value") - F.col("_best.v")) > allowed).otherwise(~text.eqNullSafe(F.col("_best.t")))
     return (
-        seen.filter(off).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-        .select("report_id", "concept", "period_id", "unit_id", "dims_key", F.col("_best.v").alias("kept_value"), F.col("numeric_value").alias("rival_value"))
+        seen.filter(off).withColumn("_n", F.row_number().over(key)).filter("_n = 1")
+        .select("report_id", "concept", "period_id", "unit_id", "dims_key", F.col("_best.v").alias("kept_value"), F.col("numeric_value").alias("rival_value"), F.when(~numbers, F.col("_best.t")).alias("kept_text"), F.when(~numbers, text).alias("rival_text"))
     )
 
 
@@ -97,15 +97,19 @@ def reference_problems(facts: DataFrame, concepts: DataFrame, periods: DataFrame
     return seen.withColumn("code", code).filter("code IS NOT NULL").select("report_id", "seq", "code")
 
 
-def verdict(facts: DataFrame, concepts: DataFrame, networks: DataFrame, arcs: DataFrame, reports: DataFrame) -> DataFrame:
-    """Per report: facts, problems by kind, and ok where there is none."""
-    feet = footing(facts, networks, arcs).groupBy("report_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if("foots").alias("footed"))
-    poise = balance(facts).groupBy("report_id").agg(F.count_if(~F.col("balances")).alias("unbalanced"))
-    clash = duplicate_conflicts(facts).groupBy("report_id").agg(F.count(F.lit(1)).alias("conflicts"))
-    lost = facts.join(concepts.select(F.col("qname").alias("concept")), "concept", "left_anti").groupBy("report_id").agg(F.count(F.lit(1)).alias("undeclared"))
+def verdict(facts: DataFrame, concepts: DataFrame, networks: DataFrame, arcs: DataFrame, reports: DataFrame, periods: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
+    """Per report: facts, problems by kind, and ok where there is none. Facts with a reference problem (any code) are unsound and take part in no other check.
+
+    Without periods or units of the reports, those that the facts cite count as known."""
+    wrong = reference_problems(facts, concepts, periods if periods is not None else facts.select("report_id", "period_id"), units if units is not None else facts.select("report_id", "unit_id"))
+    sound = facts.join(wrong.select("report_id", "seq"), ["report_id", "seq"], "left_anti")
+    feet = footing(sound, networks, arcs).groupBy("report_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if("foots").alias("footed"))
+    poise = balance(sound).groupBy("report_id").agg(F.count_if(~F.col("balances")).alias("unbalanced"))
+    clash = duplicate_conflicts(sound).groupBy("report_id").agg(F.count(F.lit(1)).alias("conflicts"))
+    lost = wrong.groupBy("report_id").agg(F.count(F.lit(1)).alias("unsound"))
     n = facts.groupBy("report_id").agg(F.count(F.lit(1)).alias("facts"))
     out = reports.select("report_id")
     for part in (n, feet, poise, clash, lost):
         out = out.join(part, "report_id", "left")
     out = out.fillna(0)
-    return out.withColumn("ok", (F.col("facts") > 0) & (F.col("checked") == F.col("footed")) & (F.col("unbalanced") + F.col("conflicts") + F.col("undeclared") == 0))
+    return out.withColumn("ok", (F.col("facts") > 0) & (F.col("checked") == F.col("footed")) & (F.col("unbalanced") + F.col("conflicts") + F.col("unsound") == 0))

@@ -1,7 +1,7 @@
 """Fact selection: consolidated facts, duplicates, requests by name, grids, and why a request came back empty.
 
 All operators take facts with report_id, seq, concept, period_id, period_type, start_date, end_date, unit_id, dims (array<struct<axis, member>>),
-dims_key, dim_count, numeric_value, decimals, language, and keep to one report by partitioning on report_id.
+dims_key, dim_count, numeric_value, decimals, language (and, for texts, value_str and is_nil), and keep to one report by partitioning on report_id.
 """
 
 from __future__ import annotations
@@ -20,6 +20,11 @@ COORDINATE = ["report_id", "concept", "period_id", "unit_id", "dims_key", "langu
 MAX_GRID_ROWS = 500
 
 
+def stated(facts: DataFrame, name: str, kind: str = "string") -> Column:
+    """A column that facts may lack: null then."""
+    return F.col(name).cast(kind) if name in facts.columns else F.lit(None).cast(kind)
+
+
 def consolidated(facts: DataFrame) -> DataFrame:
     """Facts without a dimension."""
     return facts.filter(F.col("dim_count") == 0)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from ..functions.text import local_name
 from ..plans.graph_schema import EDGES, NODES, edge_columns, filled, node_columns
 from ..sources.adapter import ReportSet
 from .blocks import parse_title
+from .facts import stated
 
 REPORT_BASE, NAMESPACE, EXTENSION = "https://example.org/report/", "https://example.org/taxonomy/tb", "https://example.org/taxonomy/tb"
 
@@ -47,8 +49,13 @@ def _period_uri(kind: Column, start: Column, end: Column) -> Column:
 
 
 def fact_nodes(facts: DataFrame) -> DataFrame:
-    """Facts with their graph ids, one per content: repeated statements of one value at one coordinate are one fact (the first)."""
-    content = W.partitionBy("report_id", "concept", "period_id", "unit_id", "dims_key", "language", "numeric_value").orderBy("seq")
+    """Facts with their graph ids, one per content: repeated statements of one value at one coordinate are one fact (the first).
+
+    The value is its text (value_str) where the facts have it, else the number; nil is a value of its own. Languages compare without case, and the entity
+    (scheme, identifier) belongs to the coordinate where the facts state it."""
+    value = F.coalesce(stated(facts, "value_str"), F.col("numeric_value").cast("string"))
+    value = F.when(F.coalesce(stated(facts, "is_nil", "boolean"), F.lit(False)), F.struct(F.lit(True).alias("nil"), F.lit(None).cast("string").alias("v"))).otherwise(F.struct(F.lit(False).alias("nil"), value.alias("v")))
+    content = W.partitionBy("report_id", "concept", "period_id", "unit_id", "dims_key", F.lower("language"), value, stated(facts, "entity_scheme"), stated(facts, "entity_identifier")).orderBy("seq")
     first = facts.withColumn("_n", F.row_number().over(content)).filter("_n = 1").drop("_n")
     uri = F.concat(_report_uri(F.col("report_id")), F.lit("#fact-"), F.col("seq").cast("string"))
     return first.withColumns({
@@ -91,7 +98,7 @@ def project(r: ReportSet) -> GraphTables:
     g.nodes["Unit"] = one(facts.filter("unit_id IS NOT NULL").select(*filled("Unit", {"identifier": c("unit"), "uri": c("unit_id"), "measure": c("unit_id"), "value": c("unit_id")})))
     number = c("unit_id").isNotNull()
     g.nodes["Fact"] = facts.select(*filled("Fact", {
-        "identifier": c("fact"), "uri": c("uri"), "value": c("numeric_value").cast("decimal(38,2)").cast("string"), "numeric_value": F.when(number, c("numeric_value")), "fact_type": F.when(number, "Numeric").otherwise("Nonnumeric"),
+        "identifier": c("fact"), "uri": c("uri"), "value": F.coalesce(stated(facts, "value_str"), c("numeric_value").cast("decimal(38,2)").cast("string")), "numeric_value": F.when(number, c("numeric_value")), "fact_type": F.when(number, "Numeric").otherwise("Nonnumeric"),
         "decimals": F.when(number, c("decimals")), "value_type": F.lit("inline"), "content_type": F.lit(None), "has_dimensions": c("dim_count") > 0, "dimension_count": c("dim_count")}))
     g.nodes["Dimension"] = one(dims.select(*filled("Dimension", {"identifier": c("dimension"), "axis": c("axis"), "member": c("member"), "dimension_type": F.lit("segment"), "axis_uri": c("axis_uri"), "member_uri": c("member_uri"), "is_explicit": F.lit(True), "is_typed": F.lit(False)})))
     title = parse_title(c("definition"))
@@ -210,21 +217,33 @@ class Pattern:
         return out.limit(limit) if limit else out
 
 
-_READS = re.compile(r"^\s*(select|with|from|values|table|describe|show|explain)\b", re.IGNORECASE)
-_WRITES = re.compile(r"\b(insert|update|delete|merge|drop|create|alter|truncate|load|copy|set|reset|cache|uncache|refresh|add|call|use|replace)\b", re.IGNORECASE)
+#: Commands that only read.
+READING_COMMANDS = {"DescribeRelation", "DescribeQueryCommand", "DescribeColumn", "DescribeFunction", "ExplainCommand", "ShowTables", "ShowColumns", "ShowFunctions", "ShowNamespaces", "ShowViews"}
 
 
-def check_query(sql: str) -> None:
-    """Raises unless sql is one statement that reads: strings and comments aside, it begins as a read and names no write."""
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", "''", sql), flags=re.DOTALL)
-    if not _READS.match(bare) or _WRITES.search(bare) or ";" in bare.strip().rstrip(";"):
-        raise ValueError("only a single reading statement is allowed")
+def check_query(sql: str, spark: SparkSession | None = None) -> None:
+    """Raises unless sql is one statement that reads, as Spark's own parser sees it: no node of its plan is a command that changes anything."""
+    spark = spark or SparkSession.active()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except (ParseException, Py4JJavaError) as e:
+        raise ValueError("only a single reading statement is allowed") from e
+    loaded = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    command = loaded.loadClass("org.apache.spark.sql.catalyst.plans.logical.Command")
+    open_nodes = [plan]
+    while open_nodes:
+        node = open_nodes.pop()
+        name = node.getClass().getSimpleName()
+        if (command.isInstance(node) or name.startswith("Insert")) and name not in READING_COMMANDS:
+            raise ValueError("only a single reading statement is allowed")
+        for group in (node.children(), node.innerChildren()):
+            open_nodes += [x for x in (group.apply(i) for i in range(group.size())) if hasattr(x, "innerChildren")]
 
 
 def run_sql(graph: GraphTables, sql: str, limit: int = 200, tag: str | None = None) -> tuple[DataFrame, int]:
     """(at most limit rows, true row count) of a reading statement over views named like the tables. A tag lets the caller interrupt it (interruptTag)."""
-    check_query(sql)
     spark = next(iter(graph.nodes.values())).sparkSession
+    check_query(sql, spark)
     for name, df in [*graph.nodes.items(), *graph.edges.items()]:
         df.createOrReplaceTempView(name)
     if tag:
@@ -245,6 +264,18 @@ def write_parquet(graph: GraphTables, path: str) -> None:
                 df.select(*[F.col(f"`{c}`") for c, _ in columns(name) if c in df.columns]).write.mode("overwrite").parquet(f"{path}/{kind}/{name}")
 
 
+def read_parquet(spark: SparkSession, path: str) -> GraphTables:
+    """The graph that write_parquet wrote; tables without rows are not there."""
+    out = GraphTables()
+    for kind, tables, names in (("nodes", out.nodes, NODES), ("relationships", out.edges, EDGES)):
+        for name in names:
+            try:
+                tables[name] = spark.read.parquet(f"{path}/{kind}/{name}")
+            except AnalysisException:  # left out, being empty
+                continue
+    return out
+
+
 def save_tables(graph: GraphTables, database: str) -> None:
     """The graph as tables of a Spark database."""
     spark = next(iter(graph.nodes.values())).sparkSession

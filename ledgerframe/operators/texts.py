@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -94,35 +96,34 @@ def read_page(docs: DataFrame, offset: int, size: int) -> DataFrame:
     return docs.filter(n > offset).select("id", F.substring("text", offset + 1, size).alias("page"), n.alias("chars"), F.when(n > offset + size, offset + size).alias("next_offset"))
 
 
-def best_cut(text: str, low: int, high: int, ideal: int) -> int:
-    """Where to cut within low..high: the paragraph break nearest to ideal, else line, else sentence, else space, else ideal."""
-    for mark, keep in (("\n\n", 2), ("\n", 1), (". ", 2), (" ", 1)):
-        at, best = text.find(mark, low, high), -1
-        while at >= 0:
-            cut = at + keep
-            if low < cut <= high and (best < 0 or abs(cut - ideal) < abs(best - ideal)):
-                best = cut
-            at = text.find(mark, at + 1, high)
-        if best > 0:
-            return best
-    return ideal
-
-
-def parts_of(text: str, size: int) -> list[str]:
-    """About equal parts of at most some 1.25 x size, joined they are the text."""
-    n = -(-len(text) // size)
-    out, at = [], 0
-    for left in range(n, 1, -1):
-        ideal = at + (len(text) - at) // left
-        slack = size // 4
-        cut = best_cut(text, max(at + 1, ideal - slack), min(len(text), ideal + slack), ideal)
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]] if text else []
+#: Marks after which a text may be cut, best first: an empty line, a line's end, a sentence's end.
+CUT_MARKS = (re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s"))
+
+
+def cut_near(text: str, wanted: int, low: int, high: int) -> int:
+    """The end of the mark nearest to wanted within low..high, of the best kind that occurs there; wanted itself if none does."""
+    for mark in CUT_MARKS if low < high else ():
+        ends = [m.end() for m in mark.finditer(text, low, high)]
+        if ends:
+            return min(ends, key=lambda end: abs(end - wanted))
+    return wanted
+
+
+def parts_of(text: str, size: int | None) -> list[str]:
+    """ceil(length / size) about equal parts, cut within a quarter of a part of their equal places; white space at cuts and ends is dropped, empty parts too."""
+    if not size or size < 0 or len(text) <= size:
+        return [text]
+    n = math.ceil(len(text) / size)
+    mean = len(text) / n
+    cuts = [0]
+    for i in range(1, n):
+        wanted, reach = round(i * mean), int(mean / 4)
+        cuts.append(cut_near(text, wanted, max(cuts[-1] + 1, wanted - reach), min(len(text) - 1, wanted + reach)))
+    return [p for p in (text[a:b].strip() for a, b in pairwise([*cuts, len(text)])) if p]
 
 
 def split_parts(docs: DataFrame, size: int) -> DataFrame:
-    """(id, part from 1, parts, chars, text): lossless balanced parts of each text."""
+    """(id, part from 1, parts, chars, text): balanced parts of each text, see parts_of."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

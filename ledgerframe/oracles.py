@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions.ids import GRAPH_NAMESPACE
+from .functions.text import ITEM_CAPTIONS
 from .sources import adapter
 
 _FACTS, _REPORTS = adapter.oracle(adapter.FACTS), adapter.oracle(adapter.REPORTS)
@@ -48,7 +49,8 @@ _CONFLICTS = f"""chain AS (SELECT *, arg_max(numeric_value, [{_PREC}, -seq]) OVE
  WINDOW w AS (PARTITION BY report_id, concept, period_id, unit_id, dims_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  clashes AS (SELECT report_id, concept, period_id, unit_id, dims_key, kept_value, numeric_value AS rival_value, seq FROM chain WHERE before > 0 AND abs(numeric_value - kept_value) > greatest({_TOL.format('decimals')}, {_TOL.format('kept_decimals')})
  QUALIFY row_number() OVER (PARTITION BY report_id, concept, period_id, unit_id, dims_key ORDER BY seq) = 1)"""
-_TITLES = r"""defs AS (SELECT role_uri, CASE WHEN role_uri = 'http://tb/role/Revenue_1' THEN 'http://tb/role/Revenue' ELSE role_uri END AS folded, definition, seq, kind FROM networks),
+_TITLES = r"""known0 AS (SELECT role_uri, arg_min(definition, seq) FILTER (definition IS NOT NULL) AS d FROM networks GROUP BY 1),
+ defs AS (SELECT n.role_uri, CASE WHEN b.role_uri IS NOT NULL AND (k.d IS NULL OR k.d IS NOT DISTINCT FROM b.d) THEN b.role_uri ELSE n.role_uri END AS folded, definition, seq, kind FROM networks n JOIN known0 k USING (role_uri) LEFT JOIN known0 b ON regexp_matches(n.role_uri, '_\d+$') AND b.role_uri = regexp_replace(n.role_uri, '_\d+$', '')),
  one AS (SELECT folded AS role_uri, arg_min(definition, seq) FILTER (definition IS NOT NULL) AS definition, list_sort(list(DISTINCT kind)) AS kinds FROM defs GROUP BY 1),
  named AS (SELECT *, nullif(regexp_extract(definition, '^\s*(\d+)\s*-\s*(Statement|Disclosure|Document|Schedule)\s*-\s*(.*)$', 1), '') AS number, nullif(regexp_extract(definition, '^\s*(\d+)\s*-\s*(Statement|Disclosure|Document|Schedule)\s*-\s*(.*)$', 2), '') AS category,
    coalesce(nullif(trim(regexp_extract(definition, '^\s*(\d+)\s*-\s*(Statement|Disclosure|Document|Schedule)\s*-\s*(.*)$', 3)), ''), definition) AS name FROM one),
@@ -56,6 +58,10 @@ _TITLES = r"""defs AS (SELECT role_uri, CASE WHEN role_uri = 'http://tb/role/Rev
    WHEN category = 'Document' THEN 'document' WHEN category = 'Schedule' THEN 'details' ELSE 'other' END AS level, trim(regexp_replace(name, '\s*\((Details?|Tables?|Policies|Parentheticals?)[^)]*\)', '')) AS bare FROM named),
  blocks AS (SELECT role_uri, definition, number, category, name, level, kinds, CASE WHEN level IN ('details','tables','policies','note','parenthetical') AND bare LIKE '% - %' THEN trim(split_part(bare, ' - ', 1)) ELSE bare END AS family,
    CASE WHEN level IN ('details','tables','policies','note','parenthetical') AND bare LIKE '% - %' THEN trim(substr(bare, strpos(bare, ' - ') + 3)) END AS subtitle, row_number() OVER (ORDER BY coalesce(number, '~'), role_uri) AS place FROM leveled)"""
+_ALL_NETWORKS = f"WITH networks AS ({adapter.NETWORKS} UNION ALL {adapter.oracle(adapter.VARIED_NETWORKS)}), arcs AS (SELECT network_seq, seq, arcrole, from_qname, to_qname FROM ({adapter.ARCS}) UNION ALL {adapter.oracle(adapter.VARIED_ARCS)})"
+_FOLDS = r"""known AS (SELECT role_uri, arg_min(definition, seq) FILTER (definition IS NOT NULL) AS d FROM networks GROUP BY 1),
+ folds AS (SELECT k.role_uri, CASE WHEN b.role_uri IS NOT NULL AND (k.d IS NULL OR k.d IS NOT DISTINCT FROM b.d) THEN b.role_uri ELSE k.role_uri END AS folds_to FROM known k LEFT JOIN known b ON regexp_matches(k.role_uri, '_\d+$') AND b.role_uri = regexp_replace(k.role_uri, '_\d+$', ''))"""
+_STATED = "CASE WHEN contains({t}, 'cash flow') THEN 'cash_flow_statement' WHEN regexp_matches({t}, 'balance sheet|financial position') THEN 'balance_sheet' WHEN regexp_matches({t}, '(stockholders|shareholders)'' equity|changes in equity') THEN 'equity_statement' WHEN regexp_matches({t}, 'operations|income|earnings') THEN 'income_statement' END"
 _SEGMENTS = "('tb:AUTOMOBILEMember'), ('tb:BUILDINGMember'), ('tb:FURNITUREMember'), ('tb:SegmentDomain')"
 
 ORACLES: dict[str, str] = {
@@ -90,10 +96,10 @@ ORACLES: dict[str, str] = {
     "duplicate_conflicts": f"""{_WITH}, {_CONFLICTS} SELECT report_id, concept, period_id, unit_id, dims_key, kept_value, rival_value FROM clashes""",
     "check_report_verdict": f"""{_WITH}, {_BEST}, {_TOTAL}, {_CALC}, {_BALANCE}, {_CONFLICTS},
       feet AS (SELECT report_id, count(*) AS checked, count(*) FILTER (abs(reported - computed) <= {_TOL.format('decimals')}) AS footed FROM rolled WHERE reported IS NOT NULL AND present > 0 GROUP BY 1), poise AS (SELECT report_id, count(*) FILTER (abs(assets - counterpart) > allowed) AS unbalanced FROM pairs GROUP BY 1),
-      clash AS (SELECT report_id, count(*) AS conflicts FROM clashes GROUP BY 1), n AS (SELECT report_id, count(*) AS facts FROM facts GROUP BY 1),
-      joined AS (SELECT r.report_id, coalesce(facts, 0) AS facts, coalesce(checked, 0) AS checked, coalesce(footed, 0) AS footed, coalesce(unbalanced, 0) AS unbalanced, coalesce(conflicts, 0) AS conflicts, CAST(0 AS BIGINT) AS undeclared
-        FROM reports r LEFT JOIN n USING (report_id) LEFT JOIN feet USING (report_id) LEFT JOIN poise USING (report_id) LEFT JOIN clash USING (report_id))
-      SELECT *, facts > 0 AND checked = footed AND unbalanced + conflicts = 0 AS ok FROM joined""",
+      clash AS (SELECT report_id, count(*) AS conflicts FROM clashes GROUP BY 1), n AS (SELECT report_id, count(*) AS facts FROM facts GROUP BY 1), lost AS (SELECT report_id, count(*) FILTER (qname IS NULL OR (is_numeric AND (numeric_value IS NULL OR unit_id IS NULL))) AS unsound FROM facts LEFT JOIN concepts ON qname = concept GROUP BY 1),
+      joined AS (SELECT r.report_id, coalesce(facts, 0) AS facts, coalesce(checked, 0) AS checked, coalesce(footed, 0) AS footed, coalesce(unbalanced, 0) AS unbalanced, coalesce(conflicts, 0) AS conflicts, coalesce(unsound, 0) AS unsound
+        FROM reports r LEFT JOIN n USING (report_id) LEFT JOIN feet USING (report_id) LEFT JOIN poise USING (report_id) LEFT JOIN clash USING (report_id) LEFT JOIN lost USING (report_id))
+      SELECT *, facts > 0 AND checked = footed AND unbalanced + conflicts + unsound = 0 AS ok FROM joined""",
     "reference_problems": f"""{_WITH}, bad AS (SELECT report_id, seq, seq % 97 = 0 AS c, seq % 79 = 0 AS p, seq % 89 = 0 AS u, seq % 83 = 0 AND seq % 89 <> 0 AS n FROM facts)
       SELECT report_id, seq, CASE WHEN c THEN 'undeclared_concept' WHEN p THEN 'unknown_period' WHEN u THEN 'unknown_unit' ELSE 'no_unit' END AS code FROM bad WHERE c OR p OR u OR n""",
     "presentation_walk": f"""WITH RECURSIVE arcs AS ({adapter.ARCS}), {_WALK} SELECT network_seq, ordinal, depth, concept, preferred_label FROM walked""",
@@ -106,10 +112,19 @@ ORACLES: dict[str, str] = {
       run AS (SELECT *, row_number() OVER w AS place, sum(uses * 36) OVER w AS total FROM uses WINDOW w AS (PARTITION BY report_id ORDER BY end_date DESC, span DESC, uses DESC, period_id)) SELECT report_id, period_id, uses, place FROM run WHERE total <= 16000 OR place <= 8""",
     "budgeted_members": f"""{_WITH}, n AS (SELECT report_id, concept, split_part(dims_key, '=', 1) AS axis, split_part(dims_key, '=', 2) AS member, count(*) AS n FROM facts WHERE dim_count = 1 GROUP BY ALL),
       run AS (SELECT *, row_number() OVER w AS place, sum(length(member) + 36 * n) OVER w AS total FROM n WINDOW w AS (PARTITION BY report_id, concept, axis ORDER BY n DESC, member)) SELECT report_id, concept, axis, member, place FROM run WHERE (total <= 16000 OR place <= 1) AND place <= 2""",
-    "roots_except": f"{_WITH} SELECT network_seq, from_qname AS qname FROM arcs EXCEPT SELECT network_seq, to_qname FROM arcs",
+    "roots_except": f"{_ALL_NETWORKS} SELECT network_seq, from_qname AS qname FROM arcs EXCEPT SELECT network_seq, to_qname FROM arcs",
     "parse_titles": f"{_WITH}, {_TITLES} SELECT role_uri, number, category, name, level, family, subtitle, place FROM blocks",
-    "role_folds": f"{_WITH} SELECT DISTINCT role_uri, CASE WHEN role_uri = 'http://tb/role/Revenue_1' THEN 'http://tb/role/Revenue' ELSE role_uri END AS folds_to FROM networks",
-    "classify_networks": f"""{_WITH} SELECT seq, role_uri, CASE WHEN lower(coalesce(definition, '') || role_uri) LIKE '%parenthetical%' OR definition LIKE '%- Disclosure -%' THEN NULL WHEN lower(definition) LIKE '%balance sheet%' THEN 'balance_sheet' WHEN lower(definition) LIKE '%statements of income%' THEN 'income_statement' END AS statement FROM networks WHERE kind = 'presentation'""",
+    "role_folds": f"{_ALL_NETWORKS}, {_FOLDS} SELECT role_uri, folds_to FROM folds",
+    "classify_networks": _ALL_NETWORKS + r""", heads AS (SELECT network_seq, min(from_qname) AS root FROM (SELECT network_seq, from_qname FROM arcs EXCEPT SELECT network_seq, to_qname FROM arcs) GROUP BY 1 HAVING count(*) = 1),
+      texts AS (SELECT seq, role_uri, lower(replace(coalesce(definition, ''), chr(8217), chr(39))) AS t, lower(regexp_replace(regexp_replace(regexp_extract(role_uri, '[^/#]*$'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[-_.]+', ' ', 'g')) AS u, split_part(root, ':', 2) AS r FROM networks LEFT JOIN heads ON network_seq = seq WHERE kind = 'presentation'),
+      named AS (SELECT seq, role_uri, t, u, """ + _STATED.format(t="t") + " AS by_title, " + _STATED.format(t="u") + r""" AS by_role, CASE WHEN r IN ('StatementOfFinancialPositionAbstract', 'BalanceSheetAbstract') THEN 'balance_sheet' WHEN r = 'StatementOfCashFlowsAbstract' THEN 'cash_flow_statement'
+        WHEN r IN ('StatementOfChangesInEquityAbstract', 'StatementOfStockholdersEquityAbstract', 'StatementOfPartnersCapitalAbstract') THEN 'equity_statement' WHEN r IN ('IncomeStatementAbstract', 'StatementOfComprehensiveIncomeAbstract', 'StatementOfIncomeAndComprehensiveIncomeAbstract') THEN 'income_statement' END AS by_root FROM texts)
+      SELECT seq, role_uri, CASE WHEN contains(t, 'parenthetical') THEN NULL WHEN by_title IS NOT NULL THEN by_title WHEN contains(u, 'parenthetical') THEN NULL ELSE coalesce(by_role, by_root) END AS statement FROM named""",
+    "duplicate_conflicts_text": """WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, min(l_returnflag) AS f FROM lineitem GROUP BY ALL), k AS (SELECT *, first_value(f) OVER w AS kept, row_number() OVER w AS p FROM v WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey))
+      SELECT CAST(l_orderkey AS VARCHAR) AS concept, CAST(l_linenumber AS VARCHAR) AS period_id, kept AS kept_text, f AS rival_text FROM k WHERE f <> kept QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY p) = 1""",
+    "graph_content_text_facts": "SELECT 'tb:c' || o_custkey AS concept, min(o_orderkey) AS seq, o_orderpriority AS value_str FROM orders GROUP BY o_custkey, o_orderpriority",
+    "item_captions": "WITH raw AS (SELECT o_orderkey, (month(o_orderdate) % 9 + 1) || '.0' || (day(o_orderdate) % 9) AS a, '2.0' || (o_orderkey % 4) AS b FROM orders), lists AS (SELECT o_orderkey, CASE WHEN a = b AND a = '9.01' THEN [a] WHEN a = b THEN [a, '9.01'] WHEN a = '9.01' THEN [a, b] ELSE [a, b, '9.01'] END AS l FROM raw), captions(item, caption) AS (VALUES " + ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in ITEM_CAPTIONS.items()) + """),
+      each AS (SELECT o_orderkey, unnest(l) AS item, generate_subscripts(l, 1) - 1 AS place, list_contains(l, '2.02') AS earnings FROM lists) SELECT o_orderkey, CAST(place AS BIGINT) AS place, item, coalesce(caption, '') AS caption, earnings FROM each LEFT JOIN captions USING (item)""",
     "disclosure_families": f"""{_WITH}, {_TITLES}, shown AS (SELECT * FROM blocks WHERE list_contains(kinds, 'presentation')), lv AS (SELECT lower(family) AS k, lower(coalesce(category, '')) AS c, string_agg(level || '=' || n, ',' ORDER BY level || '=' || n) AS levels FROM (SELECT family, category, level, count(*) AS n FROM shown GROUP BY ALL) GROUP BY 1, 2)
       SELECT arg_min(family, place) AS family, arg_min(category, place) AS category, count(*) AS blocks, any_value(levels) AS levels FROM shown JOIN lv ON k = lower(family) AND c = lower(coalesce(category, '')) GROUP BY k, c""",
     "concept_roles": f"""{_WITH}, cites AS (SELECT DISTINCT a.network_seq, coalesce(n.definition, n.role_uri) AS name, unnest([from_qname, to_qname]) AS concept FROM arcs a JOIN networks n ON n.seq = a.network_seq WHERE n.kind = 'presentation')

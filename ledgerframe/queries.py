@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions import periods, text, values
 from .operators import blocks, calculations, facts, graph, rdf, texts, walks
 from .sources import documents
-from .sources.adapter import report_set
+from .sources.adapter import report_set, varied_networks
+from .sources.stored import stored_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,11 @@ def query(f: Query) -> Query:
     return f
 
 
+def stored_graph(spark: SparkSession, sf_dir: str) -> graph.GraphTables:
+    """The projected graph, written once per application and folder and read as tables."""
+    return graph.read_parquet(spark, stored_path(spark, sf_dir, "report-graph", lambda path: graph.write_parquet(graph.project(report_set(spark, sf_dir)), path)))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -134,7 +140,35 @@ def balance_check(spark, sf_dir):
 
 @query
 def duplicate_conflicts(spark, sf_dir):
-    return calculations.duplicate_conflicts(report_set(spark, sf_dir).facts)
+    return calculations.duplicate_conflicts(report_set(spark, sf_dir).facts).drop("kept_text", "rival_text")
+
+
+@query
+def duplicate_conflicts_text(spark, sf_dir):
+    """Line items as text facts: one value per coordinate, or the report contradicts itself."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.lit("r").alias("report_id"), F.col("l_orderkey").cast("string").alias("concept"), F.col("l_linenumber").cast("string").alias("period_id"), F.lit(None).cast("string").alias("unit_id"), F.lit("").alias("dims_key"), F.lit("en").alias("language"), F.col("l_partkey").alias("seq"), F.lit(None).cast("double").alias("numeric_value"), F.lit(None).cast("string").alias("decimals"), "l_returnflag")
+    # The place among equal part numbers follows the flag, so that seq is a total order of what is compared.
+    rows = rows.groupBy("report_id", "concept", "period_id", "unit_id", "dims_key", "language", "seq", "numeric_value", "decimals").agg(F.min("l_returnflag").alias("value_str"))
+    return calculations.duplicate_conflicts(rows).select("concept", "period_id", "kept_text", "rival_text")
+
+
+@query
+def graph_content_text_facts(spark, sf_dir):
+    """Orders as text facts: equal texts at one coordinate are one fact, unlike ones all stay, whatever the case of their language."""
+    rows = _table(spark, sf_dir, "orders").select(
+        F.lit("r").alias("report_id"), F.concat(F.lit("tb:c"), F.col("o_custkey").cast("string")).alias("concept"), F.lit("p").alias("period_id"), F.lit(None).cast("string").alias("unit_id"), F.lit("").alias("dims_key"), F.when(F.col("o_orderkey") % 2 == 0, "EN").otherwise("en").alias("language"),
+        F.col("o_orderkey").alias("seq"), F.lit(None).cast("double").alias("numeric_value"), F.col("o_orderpriority").alias("value_str"), F.lit("instant").alias("period_type"), F.lit(None).cast("date").alias("start_date"), F.to_date("o_orderdate").alias("end_date"),
+    )
+    return graph.fact_nodes(rows).select("concept", "seq", "value_str")
+
+
+@query
+def item_captions(spark, sf_dir):
+    """Item lists made of order dates, parsed and described."""
+    made = _table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("Item %d.%02d, %d.%02d;9.01 Exhibits,", F.month("o_orderdate") % 9 + 1, F.dayofmonth("o_orderdate") % 9, F.lit(2), F.col("o_orderkey") % 4).alias("t"))
+    items = made.withColumn("i", text.parse_items(F.col("t")))
+    each = items.select("o_orderkey", F.posexplode(text.describe_items(F.col("i"))).alias("place", "x"), text.is_earnings_release(F.col("i")).alias("earnings"))
+    return each.select("o_orderkey", F.col("place").cast("long").alias("place"), "x.item", "x.caption", "earnings")
 
 
 @query
@@ -186,7 +220,7 @@ def budgeted_members(spark, sf_dir):
 
 @query
 def roots_except(spark, sf_dir):
-    return blocks.roots(report_set(spark, sf_dir).arcs)
+    return blocks.roots(varied_networks(spark, sf_dir)[1])
 
 
 @query
@@ -197,13 +231,12 @@ def parse_titles(spark, sf_dir):
 
 @query
 def role_folds(spark, sf_dir):
-    return blocks.role_folds(report_set(spark, sf_dir).networks)
+    return blocks.role_folds(varied_networks(spark, sf_dir)[0])
 
 
 @query
 def classify_networks(spark, sf_dir):
-    r = report_set(spark, sf_dir)
-    return blocks.classify(r.networks, r.arcs)
+    return blocks.classify(*varied_networks(spark, sf_dir))
 
 
 @query
@@ -295,7 +328,7 @@ def csr_indices(spark, sf_dir):
 
 @query
 def graph_pattern_revenue_by_report(spark, sf_dir):
-    g = graph.project(report_set(spark, sf_dir))
+    g = stored_graph(spark, sf_dir)
     path = graph.Pattern(g, "Report").out("REPORT_HAS_FACT").where("NOT n1_has_dimensions").out("FACT_HAS_ELEMENT").where("n2_name = 'NetRevenue'")
     return path.select(F.col("n0_accession_number").alias("report_id"), F.col("n1_numeric_value").alias("value"))
 

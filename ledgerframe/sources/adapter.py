@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 #: SQL that Spark and the oracle share; table names in braces.
 SUMS = """
 SELECT n_nationkey AS nk, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, c_mktsegment AS seg, l_returnflag AS rf,
@@ -88,6 +90,17 @@ SELECT * FROM (VALUES
  (8, 1, 'parent-child', 'tb:BalanceSheetAbstract', 'tb:Goodwill', 1.0, NULL, NULL, NULL), (9, 1, 'parent-child', 'tb:GrossRevenue', 'tb:NetRevenue', 1.0, NULL, NULL, NULL), (9, 2, 'parent-child', 'tb:NetRevenue', 'tb:GrossRevenue', 1.0, NULL, NULL, NULL)
 ) AS a(network_seq, seq, arcrole, from_qname, to_qname, arc_order, weight, preferred_label, target_role)
 """
+#: Networks made of rows: titles, roles and roots of every kind that classification and folding tell apart.
+VARIED_NETWORKS = """
+SELECT CAST(100 + n_nationkey AS INT) AS seq, 'http://tb/role/' || CASE n_nationkey % 7 WHEN 0 THEN 'StatementOfCashFlows' WHEN 1 THEN 'R' || CAST(n_regionkey AS STRING) WHEN 2 THEN 'R' || CAST(n_regionkey AS STRING) || '_1'
+  WHEN 3 THEN 'BalanceSheetParenthetical' WHEN 4 THEN 'Opaque' || CAST(n_nationkey AS STRING) WHEN 5 THEN 'R' || CAST(n_regionkey AS STRING) || '_22' ELSE 'notes#Earnings-Per-Share' END AS role_uri, 'presentation' AS kind,
+  CASE n_nationkey % 9 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN 'Statements of Comprehensive Income' WHEN 2 THEN 'CONSOLIDATED INCOME' WHEN 3 THEN 'Changes in Equity and Cash Flows' WHEN 4 THEN 'Changes in Stockholders\u2019 Equity'
+    WHEN 5 THEN 'Financial Position (Parenthetical)' WHEN 6 THEN n_name WHEN 7 THEN 'Results of Operations' ELSE CAST(NULL AS STRING) END AS definition FROM {nation}
+"""
+VARIED_ARCS = """
+SELECT CAST(100 + n_nationkey AS INT) AS network_seq, 1 AS seq, 'parent-child' AS arcrole, CASE n_nationkey % 4 WHEN 0 THEN 'ifrs:StatementOfFinancialPositionAbstract' WHEN 1 THEN 'tb:StatementOfCashFlowsAbstract' WHEN 2 THEN 'us:IncomeStatementAbstract'
+  ELSE 'tb:Unknown' END AS from_qname, 'tb:Assets' AS to_qname FROM {nation} UNION ALL SELECT CAST(100 + n_nationkey AS INT), 2, 'parent-child', 'tb:Other', 'tb:Assets' FROM {nation} WHERE n_nationkey % 5 = 0
+"""
 TABLES = ("lineitem", "orders", "customer", "nation")
 
 
@@ -108,11 +121,18 @@ def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def report_set(spark: SparkSession, sf_dir: str) -> ReportSet:
-    """facts have dims (array<struct<axis, member>>) besides the text key of the dimensions."""
-    facts = _sql(spark, sf_dir, FACTS)
+    """facts have dims (array<struct<axis, member>>) besides the text key of the dimensions; they are worked out once per application and folder, and read afterwards."""
     pairs = F.filter(F.split("dims_key", r"\|"), lambda x: x != "")
     dims = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("axis"), F.substring_index(x, "=", -1).alias("member")))
-    return ReportSet(_sql(spark, sf_dir, REPORTS), facts.withColumn("dims", dims).withColumn("language", F.lit(None).cast("string")), _sql(spark, sf_dir, CONCEPTS), _sql(spark, sf_dir, NETWORKS), _sql(spark, sf_dir, ARCS))
+    facts = stored(spark, sf_dir, "report-facts", lambda: _sql(spark, sf_dir, FACTS).withColumn("dims", dims).withColumn("language", F.lit(None).cast("string")))
+    return ReportSet(_sql(spark, sf_dir, REPORTS), facts, _sql(spark, sf_dir, CONCEPTS), _sql(spark, sf_dir, NETWORKS), _sql(spark, sf_dir, ARCS))
+
+
+def varied_networks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(networks, arcs): the taxonomy's and VARIED ones, with the columns that titles, roles and roots need."""
+    r = report_set(spark, sf_dir)
+    networks = r.networks.select("seq", "role_uri", "kind", "definition").unionByName(_sql(spark, sf_dir, VARIED_NETWORKS))
+    return networks, r.arcs.select("network_seq", "seq", "arcrole", "from_qname", "to_qname").unionByName(_sql(spark, sf_dir, VARIED_ARCS))
 
 
 def oracle(text: str) -> str:

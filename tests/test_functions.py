@@ -60,7 +60,7 @@ def test_precision_and_tolerance(spark):
 def test_text_functions(spark):
     got = one(spark, [("a  b \n\n\n\n c ", "us-gaap:RevenuePolicyTextBlock", "Operating Lease, Liability")], "t string, q string, l string", t=text.normalize_whitespace(F.col("t")), q=text.label_from_name(F.col("q")), s=text.squash(F.col("l")), c=text.split_camel(F.lit("EPSBasicAndDiluted")))[0]
     assert (got.t, got.s, got.c) == ("a b\n\nc", "operatingleaseliability", "EPS Basic And Diluted") and got.q.startswith("Revenue Policy")
-    got = one(spark, [("2.02, 9.01; 2.02", "8-K"), (None, "10-K")], "i string, f string", i=text.parse_items(F.col("i")), e=text.is_earnings_release(F.col("f"), text.parse_items(F.col("i"))))
+    got = one(spark, [("2.02, 9.01; 2.02", "8-K"), (None, "10-K")], "i string, f string", i=text.parse_items(F.col("i")), e=text.is_earnings_release(text.parse_items(F.col("i"))))
     assert [(list(r.i), r.e) for r in got] == [(["2.02", "9.01"], True), ([], False)]
     got = one(spark, [('{"@graph": []}',), ('{"documentInfo": 1, "facts": 2}',), ("{}",)], "j string", k=text.json_kind(F.col("j")))
     assert [r.k for r in got] == ["json-ld", "oim", None]
