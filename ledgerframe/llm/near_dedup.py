@@ -294,6 +294,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     """
     # Rows are numbered once and kept so: neither null nor repeated ids say which row a class is read from.
     texts = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "near-texts")
+    found = _components_of(texts, width, percent, rows, bands)
+    discard(texts)
+    component = F.col("component_id")
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _components_of(texts: DataFrame, width: int, percent: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id) of a written table texts(row, doc_id, text) whose rows have different numbers."""
     sketched = staged(sketches(texts, width, rows, bands), "near-sketches")
     usable = sketched.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # One class per distinct set: set_id is the number of one of its rows, its member the smallest doc_id with that set.
@@ -308,14 +316,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     repeated = single.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low <> high").select("doc_id")
     across = single.filter("doc_id <> member").join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("member").alias("b"))
     whole = components(named.select(F.col("m_a").alias("a"), F.col("m_b").alias("b")).union(across))
-    discard(texts, classes, links)
+    discard(classes, links)
     out = (
         sketched.join(heads.select("set_key", "member"), "set_key", "left")
         .withColumn("member", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("member")))
         .join(whole.select(F.col("node").alias("member"), "component"), "member", "left")
     )
-    component = F.coalesce("component", "member", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("row", "doc_id", "n_shingles", F.coalesce("component", "member", "doc_id").alias("component_id"))
 
 
 def drop_copies(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -325,12 +332,11 @@ def drop_copies(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "
     """
     row = fresh("near_row", docs.columns)
     numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "near-numbered")
-    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), F.col(f"`{text}`").alias("text")), width, percent)
-    groups = found.filter("n_shingles > 0").select(F.col("doc_id").alias("near_r"), F.col("component_id").alias("near_c"))
-    # Only rows of groups of several are looked at again.
-    several = staged(groups.groupBy("near_c").agg(F.count(F.lit(1)).alias("near_n")).filter("near_n > 1").join(groups, "near_c").select("near_c", "near_r"), "near-groups")
-    keys = several.join(numbered.select(F.col(row).alias("near_r"), F.col(f"`{key}`").alias("near_k")), "near_r")
-    ranked = keys.select("near_c", F.struct(F.col("near_k").isNull().alias("last"), F.col("near_k").alias("k"), F.col("near_r").alias("r")).alias("near_s"))
+    # The row's number is its id here, so a component's rows are told apart; its best row by key stays.
+    found = _components_of(numbered.select(F.col(row).alias("row"), F.col(row).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")), width, percent)
+    groups = found.filter("n_shingles > 0").select(F.col("row").alias("near_r"), F.col("component_id").alias("near_c"))
+    keyed = groups.join(numbered.select(F.col(row).alias("near_r"), F.col(f"`{key}`").alias("near_k")), "near_r")
+    ranked = staged(keyed.select("near_c", "near_r", F.struct(F.col("near_k").isNull().alias("last"), F.col("near_k").alias("k"), F.col("near_r").alias("r")).alias("near_s")), "near-groups")
     heads = ranked.groupBy("near_c").agg(F.min("near_s").alias("near_s")).select(F.col("near_s.r").alias("near_r"))
-    gone = several.join(heads, "near_r", "left_anti").select(F.col("near_r").alias(row))
+    gone = ranked.join(heads, "near_r", "left_anti").select(F.col("near_r").alias(row))
     return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
