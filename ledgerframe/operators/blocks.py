@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .facts import report_keys
+
 _TITLE = r"(?is)^\s*(\d+)\s*-\s*(Statement|Disclosure|Document|Schedule)\s*-\s*(.*?)\s*$"
 _SUFFIX = r"(?i)\s*\((Details?|Tables?|Policies|Parentheticals?)\b[^)]*\)"
 _NUMBER_ONLY = r"(?i)^(?:note\s*)?\d+[a-z]?\.?$"
@@ -71,26 +73,29 @@ def statement_kind(definition: Column, role_uri: Column, root: Column) -> Column
 
 
 def roots(arcs: DataFrame) -> DataFrame:
-    """(network_seq, qname) of sources that are no targets."""
-    sources = arcs.select("network_seq", F.col("from_qname").alias("qname")).distinct()
-    return sources.join(arcs.select("network_seq", F.col("to_qname").alias("qname")).distinct(), ["network_seq", "qname"], "left_anti")
+    """(network_seq, qname) of sources that are no targets; with report_id where arcs have it."""
+    keys = [*report_keys(arcs), "network_seq"]
+    sources = arcs.select(*keys, F.col("from_qname").alias("qname")).distinct()
+    return sources.join(arcs.select(*keys, F.col("to_qname").alias("qname")).distinct(), [*keys, "qname"], "left_anti")
 
 
 def classify(networks: DataFrame, arcs: DataFrame) -> DataFrame:
     """(seq, role_uri, statement) of presentation networks. A tree with several roots has none that speaks for it."""
-    single = roots(arcs).groupBy(F.col("network_seq").alias("seq")).agg(F.min("qname").alias("root"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    shown = networks.filter("kind = 'presentation'").join(single, "seq", "left")
-    return shown.select("seq", "role_uri", statement_kind(F.col("definition"), F.col("role_uri"), F.col("root")).alias("statement"))
+    by = report_keys(networks, arcs)
+    single = roots(arcs).groupBy(*by, F.col("network_seq").alias("seq")).agg(F.min("qname").alias("root"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    shown = networks.filter("kind = 'presentation'").join(single, [*by, "seq"], "left")
+    return shown.select(*by, "seq", "role_uri", statement_kind(F.col("definition"), F.col("role_uri"), F.col("root")).alias("statement"))
 
 
 def role_folds(networks: DataFrame) -> DataFrame:
     """(role_uri, folds_to): a role with a numbered suffix folds into its base if that exists and has the same definition, or it has none."""
-    known = networks.groupBy("role_uri").agg(F.min_by("definition", F.when(F.col("definition").isNotNull(), F.col("seq"))).alias("definition"))
-    base = known.select(F.col("role_uri").alias("base"), F.col("definition").alias("base_definition"))
+    by = report_keys(networks)
+    known = networks.groupBy(*by, "role_uri").agg(F.min_by("definition", F.when(F.col("definition").isNotNull(), F.col("seq"))).alias("definition"))
+    base = known.select(*by, F.col("role_uri").alias("stem"), F.col("role_uri").alias("base"), F.col("definition").alias("base_definition"))
     stem = F.nullif(F.regexp_extract("role_uri", r"^(.*?)_(\d+)$", 1), F.lit(""))
-    out = known.withColumn("stem", stem).join(base, F.col("stem") == F.col("base"), "left")
+    out = known.withColumn("stem", stem).join(base, [*by, "stem"], "left")
     folds = F.col("base").isNotNull() & (F.col("definition").isNull() | F.col("definition").eqNullSafe(F.col("base_definition")))
-    return out.select("role_uri", F.when(folds, F.col("base")).otherwise(F.col("role_uri")).alias("folds_to"))
+    return out.select(*by, "role_uri", F.when(folds, F.col("base")).otherwise(F.col("role_uri")).alias("folds_to"))
 
 
 def plan_blocks(networks: DataFrame) -> DataFrame:
@@ -98,71 +103,77 @@ def plan_blocks(networks: DataFrame) -> DataFrame:
 
     Sections go by their number as text, unnumbered last, then by role.
     """
-    of = networks.join(role_folds(networks), "role_uri")
+    by = report_keys(networks)
+    of = networks.join(role_folds(networks), [*by, "role_uri"])
     stated = F.col("definition").isNotNull() & (F.col("role_uri") == F.col("folds_to"))
-    rows = of.groupBy(F.col("folds_to").alias("role_uri")).agg(
+    rows = of.groupBy(*by, F.col("folds_to").alias("role_uri")).agg(
         F.coalesce(F.min_by("definition", F.when(stated, F.col("seq"))), F.min_by("definition", F.when(F.col("definition").isNotNull(), F.col("seq")))).alias("definition"),
         F.array_sort(F.collect_set("kind")).alias("kinds"), F.min("seq").alias("first_seq"), F.array_sort(F.collect_set(F.when(F.col("role_uri") != F.col("folds_to"), F.col("role_uri")))).alias("merged_roles"),
     )
     t = rows.withColumn("t", parse_title(F.col("definition"))).withColumn("name", F.coalesce(F.nullif(F.col("t.name"), F.lit("")), F.col("role_uri")))
     t = t.withColumn("l", parse_level(F.col("t.category"), F.col("name")))
-    place = F.row_number().over(W.orderBy(F.coalesce("t.number", F.lit("~")), "role_uri"))
-    return t.select("role_uri", "definition", F.col("t.number").alias("number"), F.col("t.category").alias("category"), "name", F.col("l.level").alias("level"), F.col("l.family").alias("family"), F.col("l.subtitle").alias("subtitle"), "kinds", "merged_roles", place.alias("place"))
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.coalesce("t.number", F.lit("~")), "role_uri"))  # the sections of a report, or of the one taxonomy
+    return t.select(*by, "role_uri", "definition", F.col("t.number").alias("number"), F.col("t.category").alias("category"), "name", F.col("l.level").alias("level"), F.col("l.family").alias("family"), F.col("l.subtitle").alias("subtitle"), "kinds", "merged_roles", place.alias("place"))
 
 
 def disclosure_families(blocks: DataFrame) -> DataFrame:
     """Sections with a presentation under one (title, category), in order of the first: name, category, blocks, counts by level."""
     shown = blocks.filter(F.array_contains("kinds", "presentation"))
-    key = [F.lower("family").alias("k"), F.lower(F.coalesce("category", F.lit(""))).alias("c")]
-    levels = shown.groupBy(*key, "level").agg(F.count(F.lit(1)).alias("n")).groupBy("k", "c").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "level", "n"))), ",").alias("levels"))
+    by = report_keys(blocks)
+    key = [*by, F.lower("family").alias("k"), F.lower(F.coalesce("category", F.lit(""))).alias("c")]
+    levels = shown.groupBy(*key, "level").agg(F.count(F.lit(1)).alias("n")).groupBy(*by, "k", "c").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "level", "n"))), ",").alias("levels"))
     heads = shown.groupBy(*key).agg(F.min_by("family", "place").alias("family"), F.min_by("category", "place").alias("category"), F.count(F.lit(1)).alias("blocks"), F.min("place").alias("place"))
-    return heads.join(levels, ["k", "c"]).select("family", "category", "blocks", "levels", "place")
+    return heads.join(levels, [*by, "k", "c"]).select(*by, "family", "category", "blocks", "levels", "place")
 
 
 def definition_arcs(networks: DataFrame, arcs: DataFrame) -> DataFrame:
     """Definition arcs under their role, and under the role it folds into."""
-    of = networks.filter("kind = 'definition'").join(role_folds(networks), "role_uri")
-    roles = of.select(F.col("seq").alias("network_seq"), F.explode(F.array_distinct(F.array("role_uri", "folds_to"))).alias("role_uri"))
-    return arcs.join(roles, "network_seq").select("role_uri", "network_seq", "seq", "arcrole", "from_qname", "to_qname", "target_role")
+    by = report_keys(networks, arcs)
+    of = networks.filter("kind = 'definition'").join(role_folds(networks), [*by, "role_uri"])
+    roles = of.select(*by, F.col("seq").alias("network_seq"), F.explode(F.array_distinct(F.array("role_uri", "folds_to"))).alias("role_uri"))
+    return arcs.join(roles, [*by, "network_seq"]).select(*by, "role_uri", "network_seq", "seq", "arcrole", "from_qname", "to_qname", "target_role")
 
 
 MEMBERS = """
-WITH RECURSIVE down(role_uri, cube, axis, member, at_role, place, depth, trail) AS (
-  SELECT role_uri, cube, axis, domain, at_role, '', 0, array(domain) FROM {starts}
+WITH RECURSIVE down(report_id, role_uri, cube, axis, member, at_role, place, depth, trail) AS (
+  SELECT report_id, role_uri, cube, axis, domain, at_role, '', 0, array(domain) FROM {starts}
   UNION ALL
-  SELECT d.role_uri, d.cube, d.axis, a.to_qname, coalesce(a.target_role, d.at_role), concat(d.place, '.', lpad(CAST(a.seq AS STRING), 6, '0')), d.depth + 1, array_append(d.trail, a.to_qname)
-  FROM down d JOIN {arcs} a ON a.role_uri = d.at_role AND a.arcrole = 'domain-member' AND a.from_qname = d.member
+  SELECT d.report_id, d.role_uri, d.cube, d.axis, a.to_qname, coalesce(a.target_role, d.at_role), concat(d.place, '.', lpad(CAST(a.seq AS STRING), 6, '0')), d.depth + 1, array_append(d.trail, a.to_qname)
+  FROM down d JOIN {arcs} a ON a.report_id = d.report_id AND a.role_uri = d.at_role AND a.arcrole = 'domain-member' AND a.from_qname = d.member
   WHERE NOT array_contains(d.trail, a.to_qname) AND d.depth < 64
 )
-SELECT role_uri, cube, axis, member, depth, place FROM down WHERE depth > 0
+SELECT report_id, role_uri, cube, axis, member, depth, place FROM down WHERE depth > 0
 """
 
 
 def hypercube_axes(networks: DataFrame, arcs: DataFrame) -> DataFrame:
     """(role_uri, cube, axis, domain, default, typed, at_role): axes of the cubes that a role declares, each hop in the arc's target role."""
     d = definition_arcs(networks, arcs)
-    pick = lambda kind, *cols: d.filter(F.col("arcrole") == kind).select(*cols)
+    by = report_keys(d)
+    pick = lambda kind, *cols: d.filter(F.col("arcrole") == kind).select(*by, *cols)
     cubes = pick("all", "role_uri", F.col("to_qname").alias("cube"), F.coalesce("target_role", "role_uri").alias("cube_role"), "network_seq", "seq")
-    first = W.partitionBy("role_uri", "cube").orderBy("network_seq", "seq")
-    cubes = cubes.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("role_uri", "cube", "cube_role")
+    first = W.partitionBy(*by, "role_uri", "cube").orderBy("network_seq", "seq")
+    cubes = cubes.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*by, "role_uri", "cube", "cube_role")
     axes = pick("hypercube-dimension", F.col("role_uri").alias("cube_role"), F.col("from_qname").alias("cube"), F.col("to_qname").alias("axis"), F.coalesce("target_role", "role_uri").alias("axis_role"), F.col("network_seq").alias("a_net"), F.col("seq").alias("a_seq"))
-    once = W.partitionBy("role_uri", "cube", "axis").orderBy("a_net", "a_seq")
-    axes = cubes.join(axes, ["cube_role", "cube"]).withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
+    once = W.partitionBy(*by, "role_uri", "cube", "axis").orderBy("a_net", "a_seq")
+    axes = cubes.join(axes, [*by, "cube_role", "cube"]).withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
     domains = pick("dimension-domain", F.col("role_uri").alias("axis_role"), F.col("from_qname").alias("axis"), F.col("to_qname").alias("domain"), F.coalesce("target_role", "role_uri").alias("at_role"), F.col("network_seq").alias("d_net"), F.col("seq").alias("d_seq"))
-    one = W.partitionBy("axis_role", "axis").orderBy("d_net", "d_seq")
-    domains = domains.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("axis_role", "axis", "domain", "at_role")
-    defaults = d.filter("arcrole = 'dimension-default'").groupBy(F.col("from_qname").alias("axis")).agg(F.min_by("to_qname", F.struct("network_seq", "seq")).alias("default"))
-    return axes.join(domains, ["axis_role", "axis"], "left").join(defaults, "axis", "left").select("role_uri", "cube", "axis", "domain", "default", F.col("domain").isNull().alias("typed"), "at_role", "a_seq")
+    one = W.partitionBy(*by, "axis_role", "axis").orderBy("d_net", "d_seq")
+    domains = domains.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*by, "axis_role", "axis", "domain", "at_role")
+    defaults = d.filter("arcrole = 'dimension-default'").groupBy(*by, F.col("from_qname").alias("axis")).agg(F.min_by("to_qname", F.struct("network_seq", "seq")).alias("default"))
+    return axes.join(domains, [*by, "axis_role", "axis"], "left").join(defaults, [*by, "axis"], "left").select(*by, "role_uri", "cube", "axis", "domain", "default", F.col("domain").isNull().alias("typed"), "at_role", "a_seq")
 
 
 def hypercube_members(networks: DataFrame, arcs: DataFrame) -> DataFrame:
     """(role_uri, cube, axis, member, place): members below each axis's domain, breadth first, each at its first visit."""
-    starts = hypercube_axes(networks, arcs).filter("domain IS NOT NULL").select("role_uri", "cube", "axis", "domain", "at_role")
-    down = arcs.sparkSession.sql(MEMBERS, starts=starts, arcs=definition_arcs(networks, arcs))
-    visit = W.partitionBy("role_uri", "cube", "axis", "member").orderBy("depth", "place")
+    by = report_keys(networks, arcs)
+    one = lambda df: df if by else df.withColumn("report_id", F.lit(""))  # noqa: E731  one taxonomy counts as one report
+    starts = one(hypercube_axes(networks, arcs).filter("domain IS NOT NULL")).select("report_id", "role_uri", "cube", "axis", "domain", "at_role")
+    down = arcs.sparkSession.sql(MEMBERS, starts=starts, arcs=one(definition_arcs(networks, arcs)))
+    visit = W.partitionBy("report_id", "role_uri", "cube", "axis", "member").orderBy("depth", "place")
     first = down.withColumn("_n", F.row_number().over(visit)).filter("_n = 1")
-    order = W.partitionBy("role_uri", "cube", "axis").orderBy("depth", "place")
-    return first.select("role_uri", "cube", "axis", "member", F.row_number().over(order).alias("place"))
+    order = W.partitionBy("report_id", "role_uri", "cube", "axis").orderBy("depth", "place")
+    return first.select(*by, "role_uri", "cube", "axis", "member", F.row_number().over(order).alias("place"))
 
 
 def fact_membership(facts: DataFrame, networks: DataFrame, arcs: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -171,20 +182,22 @@ def fact_membership(facts: DataFrame, networks: DataFrame, arcs: DataFrame, conc
     Undimensioned facts are admitted. A dimensional one is if a single cube of the section has every axis with the member in its domain (typed or
     unlisted axes take any), or the presentation shows every axis and, if it lists members, every member. Relational division: the dimensions that fit are counted.
     """
+    by = report_keys(networks, arcs)
+    of = report_keys(networks, arcs, concepts)
     folds = role_folds(networks)
-    shown = networks.filter("kind = 'presentation'").join(folds, "role_uri").select(F.col("seq").alias("network_seq"), F.col("folds_to").alias("role_uri"))
-    cites = arcs.join(shown, "network_seq").select("role_uri", F.explode(F.array("from_qname", "to_qname")).alias("concept")).distinct()
-    lists = cites.join(concepts.filter("is_domain_member").select(F.col("qname").alias("concept")), "concept", "left_semi").select("role_uri").distinct().withColumn("lists_members", F.lit(True))
+    shown = networks.filter("kind = 'presentation'").join(folds, [*by, "role_uri"]).select(*by, F.col("seq").alias("network_seq"), F.col("folds_to").alias("role_uri"))
+    cites = arcs.join(shown, [*by, "network_seq"]).select(*by, "role_uri", F.explode(F.array("from_qname", "to_qname")).alias("concept")).distinct()
+    lists = cites.join(concepts.filter("is_domain_member").select(*of, F.col("qname").alias("concept")), [*of, "concept"], "left_semi").select(*by, "role_uri").distinct().withColumn("lists_members", F.lit(True))
     # Taxonomy-sized sides: Spark broadcasts them by their size.
-    pairs = facts.select("report_id", "seq", "concept", "dims", "dim_count").join(cites, "concept")
+    pairs = facts.select("report_id", "seq", "concept", "dims", "dim_count").join(cites, [*by, "concept"])
     plain = pairs.filter("dim_count = 0").select("report_id", "seq", "role_uri")
     each = pairs.filter("dim_count > 0").select("report_id", "seq", "role_uri", "dim_count", F.explode("dims").alias("d")).select("report_id", "seq", "role_uri", "dim_count", F.col("d.axis").alias("axis"), F.col("d.member").alias("member"))
-    axes = hypercube_axes(networks, arcs).select("role_uri", "cube", "axis", "domain", "typed")
-    inside = hypercube_members(networks, arcs).select("role_uri", "cube", "axis", "member").unionByName(axes.filter("NOT typed").select("role_uri", "cube", "axis", F.col("domain").alias("member"))).distinct().withColumn("known", F.lit(True))
-    by_cube = each.join(axes, ["role_uri", "axis"]).join(inside, ["role_uri", "cube", "axis", "member"], "left").filter(F.col("typed") | F.col("member").isNull() | F.col("known"))
+    axes = hypercube_axes(networks, arcs).select(*by, "role_uri", "cube", "axis", "domain", "typed")
+    inside = hypercube_members(networks, arcs).select(*by, "role_uri", "cube", "axis", "member").unionByName(axes.filter("NOT typed").select(*by, "role_uri", "cube", "axis", F.col("domain").alias("member"))).distinct().withColumn("known", F.lit(True))
+    by_cube = each.join(axes, [*by, "role_uri", "axis"]).join(inside, [*by, "role_uri", "cube", "axis", "member"], "left").filter(F.col("typed") | F.col("member").isNull() | F.col("known"))
     cube_ok = by_cube.groupBy("report_id", "seq", "role_uri", "cube", "dim_count").agg(F.count(F.lit(1)).alias("n")).filter("n = dim_count").select("report_id", "seq", "role_uri")
-    as_axis, as_member = cites.select("role_uri", F.col("concept").alias("axis")), cites.select("role_uri", F.col("concept").alias("member")).withColumn("cited", F.lit(True))
-    tree = each.join(as_axis, ["role_uri", "axis"]).join(lists, "role_uri", "left").join(as_member, ["role_uri", "member"], "left").filter(F.col("lists_members").isNull() | F.col("member").isNull() | F.col("cited"))
+    as_axis, as_member = cites.select(*by, "role_uri", F.col("concept").alias("axis")), cites.select(*by, "role_uri", F.col("concept").alias("member")).withColumn("cited", F.lit(True))
+    tree = each.join(as_axis, [*by, "role_uri", "axis"]).join(lists, [*by, "role_uri"], "left").join(as_member, [*by, "role_uri", "member"], "left").filter(F.col("lists_members").isNull() | F.col("member").isNull() | F.col("cited"))
     tree_ok = tree.groupBy("report_id", "seq", "role_uri", "dim_count").agg(F.count(F.lit(1)).alias("n")).filter("n = dim_count").select("report_id", "seq", "role_uri")
     return plain.unionByName(cube_ok.unionByName(tree_ok).distinct())
 
@@ -206,29 +219,32 @@ def find_network(networks: DataFrame, classified: DataFrame, wanted: str) -> Dat
     More than one row left is an ambiguity for the caller to report.
     """
     q = wanted.strip().lower()
-    own = networks.filter("kind = 'presentation'").join(classified.select("seq", "statement"), "seq", "left")
+    by = report_keys(networks, classified)
+    own = networks.filter("kind = 'presentation'").join(classified.select(*by, "seq", "statement"), [*by, "seq"], "left")
     tail = F.lower(F.substring_index("role_uri", "/", -1))
     tier = (
         F.when(F.lower("role_uri") == q, 1).when((tail == q) | (F.lower("definition") == q), 2).when(F.lower("statement") == q.replace(" ", "_"), 3)
         .when(F.contains(F.lower(F.coalesce("definition", F.lit(""))), F.lit(q)) | F.contains(F.lower("role_uri"), F.lit(q)), 4)
     )
     hits = own.withColumn("tier", tier).filter("tier IS NOT NULL")
-    return hits.withColumn("best", F.min("tier").over(W.partitionBy())).filter("tier = best").select("seq", "role_uri", "definition", "statement", "tier")
+    return hits.withColumn("best", F.min("tier").over(W.partitionBy(*by))).filter("tier = best").select(*by, "seq", "role_uri", "definition", "statement", "tier")
 
 
 def concept_roles(networks: DataFrame, arcs: DataFrame, most: int = 3) -> DataFrame:
     """(concept, names): the first presentation networks that cite each concept, by definition or else role."""
-    shown = networks.filter("kind = 'presentation'").select(F.col("seq").alias("network_seq"), F.coalesce("definition", "role_uri").alias("name"))
-    cites = arcs.join(shown, "network_seq").select("network_seq", "name", F.explode(F.array("from_qname", "to_qname")).alias("concept")).distinct()
-    first = cites.withColumn("_n", F.row_number().over(W.partitionBy("concept").orderBy("network_seq"))).filter(F.col("_n") <= most)
-    return first.groupBy("concept").agg(F.transform(F.array_sort(F.collect_list(F.struct("network_seq", "name"))), lambda x: x["name"]).alias("names"))
+    by = report_keys(networks, arcs)
+    shown = networks.filter("kind = 'presentation'").select(*by, F.col("seq").alias("network_seq"), F.coalesce("definition", "role_uri").alias("name"))
+    cites = arcs.join(shown, [*by, "network_seq"]).select(*by, "network_seq", "name", F.explode(F.array("from_qname", "to_qname")).alias("concept")).distinct()
+    first = cites.withColumn("_n", F.row_number().over(W.partitionBy(*by, "concept").orderBy("network_seq"))).filter(F.col("_n") <= most)
+    return first.groupBy(*by, "concept").agg(F.transform(F.array_sort(F.collect_list(F.struct("network_seq", "name"))), lambda x: x["name"]).alias("names"))
 
 
 def group_tree(blocks: DataFrame) -> DataFrame:
     """(role_uri, head, place, member_place): sections under the head of their family, the first of it; heads stand under themselves."""
     shown = blocks.filter(F.array_contains("kinds", "presentation"))
-    family = W.partitionBy(F.lower("family"), F.lower(F.coalesce("category", F.lit("")))).orderBy("place")
-    return shown.select("role_uri", F.first("role_uri").over(family).alias("head"), "place", F.row_number().over(family).alias("member_place"))
+    by = report_keys(blocks)
+    family = W.partitionBy(*by, F.lower("family"), F.lower(F.coalesce("category", F.lit("")))).orderBy("place")
+    return shown.select(*by, "role_uri", F.first("role_uri").over(family).alias("head"), "place", F.row_number().over(family).alias("member_place"))
 
 
 def block_footing(footed: DataFrame, columns: DataFrame) -> DataFrame:

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import local_name, prefix_of
 from ..functions.values import precision, tolerance
-from .facts import consolidated, most_precise, stated
+from .facts import consolidated, most_precise, report_keys, stated
 
 #: Total and counterpart by local name.
 BALANCE_PAIRS = (("Assets", "LiabilitiesAndStockholdersEquity"), ("Assets", "EquityAndLiabilities"))
 
 
 def calculation_arcs(networks: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(role_uri, parent, child, weight, arc_order); unstated weights are 1."""
-    nets = networks.filter("kind = 'calculation'").select(F.col("seq").alias("network_seq"), "role_uri")
-    return arcs.join(nets, "network_seq").select("network_seq", "role_uri", F.col("from_qname").alias("parent"), F.col("to_qname").alias("child"), F.coalesce("weight", F.lit(1.0)).alias("weight"), F.col("seq").alias("arc_seq"))
+    """(network_seq, role_uri, parent, child, weight, arc_seq), with report_id where networks and arcs have it; unstated weights are 1."""
+    by = report_keys(networks, arcs)
+    nets = networks.filter("kind = 'calculation'").select(*by, F.col("seq").alias("network_seq"), "role_uri")
+    return arcs.join(nets, [*by, "network_seq"]).select(*by, "network_seq", "role_uri", F.col("from_qname").alias("parent"), F.col("to_qname").alias("child"), F.coalesce("weight", F.lit(1.0)).alias("weight"), F.col("seq").alias("arc_seq"))
 
 
 def rollup(facts: DataFrame, networks: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -27,12 +28,13 @@ def rollup(facts: DataFrame, networks: DataFrame, arcs: DataFrame) -> DataFrame:
     """
     values = most_precise(consolidated(facts)).select("report_id", "concept", "period_id", "unit_id", "numeric_value", "decimals")
     calc = calculation_arcs(networks, arcs)
-    terms = calc.join(values.withColumnRenamed("concept", "child"), "child")
+    by = report_keys(calc)
+    terms = calc.join(values.withColumnRenamed("concept", "child"), [*by, "child"])
     keys = ["report_id", "network_seq", "role_uri", "parent", "period_id", "unit_id"]
     has = F.col("numeric_value").isNotNull()
     sums = terms.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("numeric_value")).alias("computed"), F.count_if(has).alias("present"), F.array_sort(F.collect_set(F.when(has, F.col("child")))).alias("found"))
-    heads = calc.groupBy("network_seq", "role_uri", "parent").agg(F.count(F.lit(1)).alias("terms"), F.array_sort(F.collect_set("child")).alias("children"))
-    own = heads.select("network_seq", "role_uri", "parent").join(values.withColumnRenamed("concept", "parent"), "parent").select(*keys, F.col("numeric_value").alias("reported"), "decimals")
+    heads = calc.groupBy(*by, "network_seq", "role_uri", "parent").agg(F.count(F.lit(1)).alias("terms"), F.array_sort(F.collect_set("child")).alias("children"))
+    own = heads.select(*by, "network_seq", "role_uri", "parent").join(values.withColumnRenamed("concept", "parent"), [*by, "parent"]).select(*keys, F.col("numeric_value").alias("reported"), "decimals")
     # A unit may be null on both sides: compared null-safely.
     o, s = own.alias("o"), sums.alias("s")
     same = [F.col(f"o.{k}") == F.col(f"s.{k}") if k != "unit_id" else F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
@@ -40,7 +42,7 @@ def rollup(facts: DataFrame, networks: DataFrame, arcs: DataFrame) -> DataFrame:
     for c in same[1:]:
         on &= c
     both = o.join(s, on, "full_outer").select(*[F.coalesce(f"o.{k}", f"s.{k}").alias(k) for k in keys], "reported", "decimals", "computed", F.coalesce("present", F.lit(0)).alias("present"), F.coalesce("found", F.array().cast("array<string>")).alias("found"))
-    both = both.join(heads, ["network_seq", "role_uri", "parent"])
+    both = both.join(heads, [*by, "network_seq", "role_uri", "parent"])
     shown = F.when(F.col("present") > 0, F.col("computed"))
     return both.select(*keys, "reported", "decimals", shown.alias("computed"), (F.col("reported") - shown).alias("difference"), "present", "terms", F.array_join(F.array_except("children", "found"), ",").alias("missing"))
 
@@ -86,10 +88,11 @@ def duplicate_conflicts(facts: DataFrame) -> DataFrame:
 
 def reference_problems(facts: DataFrame, concepts: DataFrame, periods: DataFrame, units: DataFrame) -> DataFrame:
     """(report_id, seq, code) of facts that cite what the report lacks, first failing reason only."""
-    c = concepts.select(F.col("qname").alias("concept"), F.col("is_numeric").alias("_numeric"), F.lit(True).alias("_c"))
+    by = report_keys(concepts)
+    c = concepts.select(*by, F.col("qname").alias("concept"), F.col("is_numeric").alias("_numeric"), F.lit(True).alias("_c"))
     p = periods.select("report_id", "period_id", F.lit(True).alias("_p")).distinct()
     u = units.select("report_id", "unit_id", F.lit(True).alias("_u")).distinct()
-    seen = facts.join(c, "concept", "left").join(p, ["report_id", "period_id"], "left").join(u, ["report_id", "unit_id"], "left")
+    seen = facts.join(c, [*by, "concept"], "left").join(p, ["report_id", "period_id"], "left").join(u, ["report_id", "unit_id"], "left")
     code = (
         F.when(F.col("_c").isNull(), "undeclared_concept").when(F.col("_p").isNull(), "unknown_period").when(F.col("unit_id").isNotNull() & F.col("_u").isNull(), "unknown_unit")
         .when(F.col("_numeric") & F.col("numeric_value").isNull(), "not_a_number").when(F.col("_numeric") & F.col("unit_id").isNull(), "no_unit")

@@ -25,6 +25,11 @@ def stated(facts: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name).cast(kind) if name in facts.columns else F.lit(None).cast(kind)
 
 
+def report_keys(*tables: DataFrame) -> list[str]:
+    """["report_id"] where networks, arcs or concepts belong to reports, [] where one taxonomy serves all."""
+    return ["report_id"] if all("report_id" in t.columns for t in tables) else []
+
+
 def consolidated(facts: DataFrame) -> DataFrame:
     """Facts without a dimension."""
     return facts.filter(F.col("dim_count") == 0)
@@ -149,7 +154,8 @@ def content_dedup(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
 
 def describe(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     """Counts per report in one pass: facts, numeric, consolidated, dimensional, concepts, periods, units, text blocks."""
-    with_kind = facts.join(concepts.select(F.col("qname").alias("concept"), "is_textblock"), "concept", "left")
+    by = report_keys(concepts)
+    with_kind = facts.join(concepts.select(*by, F.col("qname").alias("concept"), "is_textblock"), [*by, "concept"], "left")
     number = F.col("numeric_value").isNotNull()
     return with_kind.groupBy("report_id").agg(
         F.count(F.lit(1)).alias("facts"), F.count_if(number).alias("numeric_facts"), F.count_if(number & (F.col("dim_count") == 0)).alias("consolidated_numeric"), F.count_if(F.col("dim_count") > 0).alias("dimensional"),

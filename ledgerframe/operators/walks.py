@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.periods import span_days
-from .facts import consolidated, most_precise
+from .facts import consolidated, most_precise, report_keys
 
 MAX_DEPTH, MAX_COLUMNS, COLUMN_BUDGET, CELL = 14, 8, 16_000, 36
 
@@ -40,20 +40,23 @@ def presentation_walk(arcs: DataFrame, deepest: int = MAX_DEPTH) -> DataFrame:
 
     Roots are sources that are no targets, in order of their first arc; without any, the first arc's source. Children go by
     order (unstated 0), then position. A concept within its own trail is listed and not followed. Walk networks, never facts: the recursion
-    grows with the taxonomy alone.
+    grows with the taxonomy alone. Where arcs have a report_id, networks are told apart by it too, and the rows have it.
     """
-    rows = arcs.sparkSession.sql(WALK.replace("{deepest}", str(int(deepest))), arcs=arcs)
+    by = report_keys(arcs)
+    own = arcs.withColumn("network_seq", F.struct("report_id", "network_seq")) if by else arcs
+    rows = arcs.sparkSession.sql(WALK.replace("{deepest}", str(int(deepest))), arcs=own)
     ordinal = F.row_number().over(W.partitionBy("network_seq").orderBy("place"))
-    return rows.select("network_seq", ordinal.alias("ordinal"), "depth", "concept", "preferred_label", "trail")
+    return rows.select(*(["network_seq.*"] if by else ["network_seq"]), ordinal.alias("ordinal"), "depth", "concept", "preferred_label", "trail")
 
 
 def page(walk: DataFrame, offset: int = 0, limit: int = 400) -> DataFrame:
     """Rows offset+1..offset+limit of each network, with the ancestors of the page's first row, and next_offset where rows remain."""
+    keys = [*report_keys(walk), "network_seq"]
     inside = walk.filter((F.col("ordinal") > offset) & (F.col("ordinal") <= offset + limit))
-    total = walk.groupBy("network_seq").agg(F.count(F.lit(1)).alias("total"))
-    out = inside.join(total, "network_seq")
+    total = walk.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    out = inside.join(total, keys)
     first = F.when(F.col("ordinal") == offset + 1, F.col("trail"))
-    return out.withColumns({"ancestors": F.max(first).over(W.partitionBy("network_seq")), "next_offset": F.when(F.col("total") > offset + limit, F.lit(offset + limit))})
+    return out.withColumns({"ancestors": F.max(first).over(W.partitionBy(*keys)), "next_offset": F.when(F.col("total") > offset + limit, F.lit(offset + limit))})
 
 
 def statement_cells(facts: DataFrame, walk: DataFrame, columns: int = MAX_COLUMNS) -> DataFrame:
@@ -66,7 +69,8 @@ def statement_cells(facts: DataFrame, walk: DataFrame, columns: int = MAX_COLUMN
     last = W.partitionBy("report_id", "concept", "period_id").orderBy(F.desc("seq"))
     value = best.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("report_id", "concept", "period_id", "start_date", "end_date", F.col("numeric_value").alias("value"))
     uses = F.count(F.lit(1)).over(W.partitionBy("report_id", "network_seq", "period_id"))
-    cells = walk.select("network_seq", "ordinal", "depth", "concept").join(value, "concept").withColumn("uses", uses)
+    by = report_keys(walk)
+    cells = walk.select(*by, "network_seq", "ordinal", "depth", "concept").join(value, [*by, "concept"]).withColumn("uses", uses)
     order = W.partitionBy("report_id", "network_seq").orderBy(F.desc("end_date"), F.desc(span_days(F.col("start_date"), F.col("end_date"))), F.desc("uses"), "period_id")
     ranked = cells.withColumn("column", F.dense_rank().over(order))
     return ranked.filter(F.col("column") <= columns).select("report_id", "network_seq", "ordinal", "depth", "concept", "period_id", "value", "column")

@@ -27,7 +27,7 @@ MODEL = (
     "filing STRUCT<accession: STRING, form: STRING, filing_date: STRING, report_date: STRING>, entity STRUCT<cik: STRING, name: STRING>, concepts MAP<STRING, STRUCT<name: STRING, pref_label: STRING, is_abstract: BOOLEAN, is_numeric: BOOLEAN, period_type: STRING, balance: STRING>>, "
     "periods ARRAY<STRUCT<id: STRING, period_type: STRING, start: STRING, `end`: STRING>>, units ARRAY<STRUCT<id: STRING, measure: STRING>>, "
     "facts ARRAY<STRUCT<id: STRING, concept_qname: STRING, period_id: STRING, unit_id: STRING, value_str: STRING, numeric_value: DOUBLE, decimals: STRING, is_nil: BOOLEAN, language: STRING, dims: ARRAY<STRUCT<axis_qname: STRING, member_qname: STRING, typed_value: STRING>>>>, "
-    "networks ARRAY<STRUCT<role_uri: STRING, kind: STRING, definition: STRING, arcs: ARRAY<STRUCT<from_qname: STRING, to_qname: STRING, arcrole: STRING, `order`: DOUBLE, weight: DOUBLE, preferred_label: STRING>>>>"
+    "networks ARRAY<STRUCT<role_uri: STRING, kind: STRING, definition: STRING, arcs: ARRAY<STRUCT<from_qname: STRING, to_qname: STRING, arcrole: STRING, `order`: DOUBLE, weight: DOUBLE, preferred_label: STRING, target_role: STRING>>>>"
 )
 
 
@@ -40,7 +40,7 @@ def read_models(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     facts = facts.withColumns({"dims_key": F.array_join(F.array_sort(pair), "|"), "dim_count": F.size(pair)})
     networks = each("networks")
     concepts = docs.select("report_id", F.explode("concepts").alias("qname", "x")).select("report_id", "qname", "x.*")
-    arcs = networks.select("report_id", F.col("seq").alias("network_seq"), F.posexplode("arcs").alias("seq", "x")).select("report_id", "network_seq", "seq", "x.*")
+    arcs = networks.select("report_id", F.col("seq").alias("network_seq"), F.posexplode("arcs").alias("seq", "x")).select("report_id", "network_seq", "seq", "x.*").withColumnRenamed("order", "arc_order")
     return {"reports": docs.select("report_id", "filing.*", F.col("entity.cik").alias("cik"), F.col("entity.name").alias("name")), "concepts": concepts, "periods": each("periods"), "units": each("units"), "facts": facts, "networks": networks.drop("arcs"), "arcs": arcs}
 
 

@@ -216,3 +216,33 @@ def test_verdict_counts_every_unsound_fact(spark):
     assert got == {"r": (3, False), "s": (0, True)}
     none = calculations.verdict(rows, concepts, n, a, reports, periods=spark.createDataFrame([("s", "FY")], "report_id string, period_id string"))
     assert {r.report_id: r.unsound for r in none.collect()} == {"r": 4, "s": 0}
+
+
+def test_networks_of_two_reports_stay_apart(spark, tmp_path):
+    """Saved models number their networks from 0: walks, roll-ups, kinds, sections, cubes and membership go by report as well."""
+    import json
+
+    def model(report, total, part, value, title):
+        arc = lambda a, b, role, **more: {"from_qname": a, "to_qname": b, "arcrole": role, **more}
+        fact = lambda c, v, dims=(): {"id": c, "concept_qname": c, "period_id": "FY", "unit_id": "USD", "value_str": str(v), "numeric_value": v, "decimals": "0", "dims": [{"axis_qname": a, "member_qname": m} for a, m in dims]}
+        return {"filing": {"accession": report}, "concepts": {c: {"is_numeric": True} for c in (total, part)}, "facts": [fact(total, 10.0), fact(part, value), fact(part, 1.0, [("x:Axis", f"x:{report}")])], "networks": [
+            {"role_uri": "r/one", "kind": "presentation", "definition": title, "arcs": [arc(f"x:{report}Root", total, "parent-child", order=1.0), arc(f"x:{report}Root", part, "parent-child", order=2.0)]},
+            {"role_uri": "r/one", "kind": "calculation", "definition": title, "arcs": [arc(total, part, "summation-item", weight=2.0)]},
+            {"role_uri": "r/one", "kind": "definition", "definition": title, "arcs": [arc(part, "x:Cube", "all"), arc("x:Cube", "x:Axis", "hypercube-dimension"), arc("x:Axis", f"x:{report}Domain", "dimension-domain"), arc(f"x:{report}Domain", f"x:{report}", "domain-member")]},
+        ]}
+
+    for name, made in (("a", model("a", "x:T", "x:P", 5.0, "Balance Sheets")), ("b", model("b", "x:T", "x:Q", 4.0, "Cash Flows"))):
+        (tmp_path / f"{name}.json").write_text(json.dumps(made))
+    m = documents.read_models(spark, str(tmp_path))
+    walk = [(r.report_id, r.network_seq, r.ordinal, r.concept) for r in walks.presentation_walk(m["arcs"].filter("network_seq = 0")).orderBy("report_id", "ordinal").collect()]
+    assert walk == [("a", 0, 1, "x:aRoot"), ("a", 0, 2, "x:T"), ("a", 0, 3, "x:P"), ("b", 0, 1, "x:bRoot"), ("b", 0, 2, "x:T"), ("b", 0, 3, "x:Q")]
+    feet = {r.report_id: (r.computed, r.foots, r.terms) for r in calculations.footing(m["facts"], m["networks"], m["arcs"]).collect()}
+    assert feet == {"a": (10.0, True, 1), "b": (8.0, False, 1)}
+    assert {(r.report_id, r.statement) for r in blocks.classify(m["networks"], m["arcs"]).collect()} == {("a", "balance_sheet"), ("b", "cash_flow_statement")}
+    assert sorted((r.report_id, r.role_uri, r.place, r.definition) for r in blocks.plan_blocks(m["networks"]).collect()) == [("a", "r/one", 1, "Balance Sheets"), ("b", "r/one", 1, "Cash Flows")]
+    assert sorted((r.report_id, r.member) for r in blocks.hypercube_members(m["networks"], m["arcs"]).collect()) == [("a", "x:a"), ("b", "x:b")]
+    concepts = m["concepts"].withColumn("is_domain_member", F.lit(False))
+    facts_ = m["facts"].withColumn("dims", F.transform("dims", lambda d: F.struct(d["axis_qname"].alias("axis"), d["member_qname"].alias("member"))))
+    assert sorted((r.report_id, r.seq) for r in blocks.fact_membership(facts_, m["networks"], m["arcs"], concepts).collect()) == [(x, i) for x in "ab" for i in range(3)]
+    bad = {r.report_id: r.unsound for r in calculations.verdict(m["facts"], m["concepts"], m["networks"], m["arcs"], m["reports"].select("report_id")).collect()}
+    assert bad == {"a": 0, "b": 0}
