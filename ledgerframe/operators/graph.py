@@ -267,10 +267,11 @@ def write_parquet(graph: GraphTables, path: str) -> None:
 def read_parquet(spark: SparkSession, path: str) -> GraphTables:
     """The graph that write_parquet wrote; tables without rows are not there."""
     out = GraphTables()
-    for kind, tables, names in (("nodes", out.nodes, NODES), ("relationships", out.edges, EDGES)):
+    for kind, tables, names, columns in (("nodes", out.nodes, NODES, node_columns), ("relationships", out.edges, EDGES, edge_columns)):
         for name in names:
+            schema = ", ".join(f"`{c}` {t}" for c, t in columns(name))  # declared: no file is opened to learn it
             try:
-                tables[name] = spark.read.parquet(f"{path}/{kind}/{name}")
+                tables[name] = spark.read.schema(schema).parquet(f"{path}/{kind}/{name}")
             except AnalysisException:  # left out, being empty
                 continue
     return out

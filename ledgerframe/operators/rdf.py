@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import md5_slug
+from ..functions.periods import duration_type
 from ..functions.text import local_name
 from ..sources.adapter import ReportSet
 
@@ -13,9 +14,12 @@ TYPE = "rdf:type"
 
 
 def _rules(df: DataFrame, s: Column, *rules: tuple) -> DataFrame:
-    """Triples of one pass over df: rules are (predicate, object, kind, datatype or nothing)."""
-    each = [F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(more[0] if more else None).cast("string").alias("o_datatype")) for p, o, kind, *more in rules]
-    return df.select(s.cast("string").alias("s"), F.explode(F.array(*each)).alias("t")).select("s", "t.*").filter("s IS NOT NULL AND o IS NOT NULL")
+    """Triples of df, a select for each rule (predicate, object, kind, datatype or nothing): the predicate is a literal of its branch, so that a filter on p leaves only the branches that can match."""
+    out = None
+    for p, o, kind, *more in rules:
+        one = df.select(s.cast("string").alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(more[0] if more else None).cast("string").alias("o_datatype")).filter("s IS NOT NULL AND o IS NOT NULL")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def triples(r: ReportSet) -> DataFrame:
@@ -63,18 +67,22 @@ def natural_key(text: Column) -> Column:
 
 
 def consolidated_facts(t: DataFrame) -> DataFrame:
-    """(concept, end, value, start, unit) of facts without a dimension. Properties of a subject are gathered in one pass, not by a join each."""
-    def subjects(kind: str | list[str], *paths: str, none: str | None = None) -> DataFrame:
-        kinds = [kind] if isinstance(kind, str) else kind
+    """(concept, name, value, end, period_type, duration_type, measure) of facts with a value and without a dimension. Name, duration type and measure may be missing.
+
+    Properties of a subject are gathered in one pass, not by a join each."""
+    def subjects(kinds: list[str], *paths: str, none: str | None = None) -> DataFrame:
         rows = t.filter(F.col("p").isin(TYPE, *paths, *([none] if none else [])))
         of = [F.max(F.when(F.col("p") == p, F.col("o"))).alias(f"_{p}") for p in paths]
         found = rows.groupBy("s").agg(F.max(F.when(F.col("p") == TYPE, F.col("o"))).alias("_kind"), F.count_if(F.col("p") == (none or "")).alias("_none"), *of)
-        return found.filter(F.col("_kind").isin(*kinds) & (F.col("_none") == 0)).drop("_kind", "_none")
-
-    facts = subjects("Fact", "element", "period", "value", "unit", none="dimension")
-    elements = subjects("Element", "qname").select(F.col("s").alias("_element"), F.col("_qname").alias("concept"))
-    periods = subjects(["Duration", "Instant"], "start", "end").select(F.col("s").alias("_period"), F.col("_start").alias("start"), F.col("_end").alias("end"))
-    return facts.join(elements, "_element").join(periods, "_period").select("concept", "end", F.col("_value").alias("value"), "start", F.col("_unit").alias("unit"))
+        return found.filter(F.col("_kind").isin(*kinds) & (F.col("_none") == 0)).drop("_none")
+
+    facts = subjects(["Fact"], "element", "period", "value", "unit", none="dimension").filter("_value IS NOT NULL").drop("s", "_kind")
+    elements = subjects(["Element"], "qname", "label").select(F.col("s").alias("_element"), F.col("_qname").alias("concept"), F.col("_label").alias("name"))
+    kind = duration_type(F.col("_start").cast("date"), F.col("_end").cast("date"))
+    periods = subjects(["Duration", "Instant"], "start", "end").select(F.col("s").alias("_period"), F.col("_end").alias("end"), F.lower("_kind").alias("period_type"), kind.alias("duration_type"))
+    units = subjects(["Unit"], "measure").select(F.col("s").alias("_unit"), F.col("_measure").alias("measure"))
+    found = facts.join(elements, "_element").join(periods, "_period").join(units, "_unit", "left")
+    return found.select("concept", "name", F.col("_value").alias("value"), "end", "period_type", "duration_type", "measure")
 
 
 #: Shapes: class, path, rule (min, max count; node kind) and its argument.

@@ -166,7 +166,7 @@ ORACLES: dict[str, str] = {
       SELECT name, CAST(n AS BIGINT) AS "rows" FROM (SELECT unnest(['Fact', 'REPORT_HAS_FACT', 'FACT_HAS_ELEMENT', 'FACT_HAS_PERIOD', 'FACT_HAS_UNIT', 'FACT_HAS_ENTITY']) AS name, n FROM f UNION ALL SELECT 'FACT_HAS_DIMENSION', count(*) FROM d UNION ALL SELECT unnest(['Dimension', 'DIMENSION_HAS_AXIS_ELEMENT', 'DIMENSION_HAS_MEMBER_ELEMENT']), n FROM ids
         UNION ALL SELECT unnest(['Element', 'Label', 'ELEMENT_HAS_LABEL']), n FROM el UNION ALL SELECT unnest(['Association', 'STRUCTURE_HAS_ASSOCIATION', 'ASSOCIATION_HAS_FROM_ELEMENT', 'ASSOCIATION_HAS_TO_ELEMENT']), n FROM asc_ UNION ALL SELECT unnest(['Structure', 'STRUCTURE_HAS_TAXONOMY']), n FROM st UNION ALL SELECT unnest(['Report', 'ENTITY_HAS_REPORT', 'REPORT_USES_TAXONOMY']), n FROM r
         UNION ALL SELECT 'Entity', count(DISTINCT entity_cik) FROM reports UNION ALL SELECT 'Period', count(DISTINCT period_id) FROM facts UNION ALL SELECT 'Unit', count(DISTINCT unit_id) FROM facts UNION ALL SELECT 'Taxonomy', 1)""",
-    "rdf_consolidated_facts": f"""{_WITH} SELECT concept, CAST(end_date AS VARCHAR) AS "end", CAST(CAST(numeric_value AS DECIMAL(38,2)) AS DOUBLE) AS value FROM facts WHERE dims_key = ''""",
+    "rdf_consolidated_facts": f"""{_WITH} SELECT concept, label AS name, CAST(end_date AS VARCHAR) AS "end", CAST(CAST(numeric_value AS DECIMAL(38,2)) AS DOUBLE) AS value, f.period_type, {_KIND.format(s='start_date', e='end_date')} AS duration_type, unit_id AS measure FROM facts f JOIN concepts ON qname = concept WHERE dims_key = ''""",
     "oim_facts": f"""{_WITH} SELECT report_id, 'f-' || row_number() OVER (PARTITION BY report_id ORDER BY seq) AS key, regexp_replace(regexp_replace(CAST(CAST(numeric_value AS DECIMAL(38,2)) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS value, try_cast(decimals AS INT) AS decimals, concept,
       CASE WHEN period_type = 'duration' THEN CAST(start_date AS VARCHAR) || 'T00:00:00/' ELSE '' END || CAST(CAST(end_date + 1 AS DATE) AS VARCHAR) || 'T00:00:00' AS period, unit_id AS unit, dims_key FROM facts""",
     "equation_terms": f"""{_WITH} SELECT role_uri, from_qname AS total, string_agg(CASE WHEN weight < 0 THEN '-' ELSE '+' END || to_qname, ' ' ORDER BY a.seq) AS terms FROM arcs a JOIN networks n ON n.seq = a.network_seq WHERE kind = 'calculation' GROUP BY 1, 2""",

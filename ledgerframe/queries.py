@@ -340,7 +340,7 @@ def rdf_triples(spark, sf_dir):
 
 @query
 def rdf_consolidated_facts(spark, sf_dir):
-    return rdf.consolidated_facts(rdf.triples(report_set(spark, sf_dir))).select("concept", "end", F.col("value").cast("double").alias("value"))
+    return rdf.consolidated_facts(rdf.triples(report_set(spark, sf_dir))).withColumn("value", F.col("value").cast("double"))
 
 
 @query
