@@ -119,11 +119,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bro
     rows = staged(rows.select("row", F.col("doc.doc_id").alias("doc_id"), "n_words", _merged(F.col("raw")).alias("spans"), "ids"), "decontamination-rows")
     # Items by distinct set of windows: a passage that stands in many documents is looked up once for all of them.
     rows = rows.withColumn("ids", F.array_sort("ids"))
-    sets = rows.filter("size(ids) > 0").select("ids").distinct()
-    of_set = sets.select("ids", F.explode("ids").alias("id")).join(windows, "id").select("ids", F.explode("items").alias("item")).groupBy("ids").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    # Clean rows, which are most, take no part in the join; the items are written, so that Spark can split a set that many rows share.
+    hit = rows.filter("size(ids) > 0")
+    of_set = hit.select("ids").distinct().select("ids", F.explode("ids").alias("id")).join(windows, "id").select("ids", F.explode("items").alias("item")).groupBy("ids").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    rows = hit.join(staged(of_set, "decontamination-items"), "ids", "left").unionByName(rows.filter("size(ids) = 0"), allowMissingColumns=True)
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
-    return rows.join(of_set, "ids", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"), "spans")
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"), "spans")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
