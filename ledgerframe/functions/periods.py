@@ -52,6 +52,12 @@ def period_key(period_type: Column, start: Column, end: Column) -> Column:
     return F.when(period_type == "instant", F.date_format(end, "yyyy-MM-dd")).when(period_type == "forever", "forever").when(period_type == "duration", F.concat(iso(start), F.lit(".."), iso(end)))
 
 
+def period_wanted(key: Column, end: Column, wanted: list[str]) -> Column:
+    """Whether a period was asked for by its key, by its end date or by the year of its end; no end matches by the key alone."""
+    by_end = F.date_format(end, "yyyy-MM-dd").isin(wanted) | F.year(end).cast("string").isin(wanted)
+    return F.coalesce(key.isin(wanted), F.lit(False)) | F.coalesce(by_end, F.lit(False))
+
+
 def _endpoint(text: Column, exclusive: bool) -> Column:
     day = F.try_to_date(F.substring(F.trim(text), 1, 10), "yyyy-MM-dd")
     return F.when(F.contains(text, F.lit("T")), F.date_sub(day, 1)).otherwise(day) if exclusive else day

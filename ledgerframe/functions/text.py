@@ -29,6 +29,26 @@ def label_from_name(qname: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(local, "TextBlock$", ""), "([a-z])([A-Z])", "$1 $2")
 
 
+def label_for_role(labels: Column, role: Column, standard: Column, qname: Column) -> Column:
+    """The label of a concept for a preferred role: that of the very role, else the first whose role ends in the role's last part, else the standard label, else the local name.
+
+    labels: array<struct<role, value>>; empty values do not count. Null labels and roles are none."""
+    said = F.filter(labels, lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    last = F.lower(F.substring_index(role, "/", -1))
+    exact, alike = F.filter(said, lambda x: x["role"] == role), F.filter(said, lambda x: F.endswith(F.lower(x["role"]), last))
+    return F.coalesce(F.get(exact, 0)["value"], F.get(alike, 0)["value"], F.nullif(standard, F.lit("")), local_name(qname))
+
+
+def measure_token(prefix: Column, local: Column) -> Column:
+    """prefix:local of a measure; local alone without a prefix."""
+    return F.concat(F.when(F.coalesce(prefix, F.lit("")) != "", F.concat(prefix, F.lit(":"))).otherwise(""), local)
+
+
+def unit_measure(numerator: Column, denominator: Column) -> Column:
+    """The name of a unit: its single measure, or numerator/denominator; null without a numerator."""
+    return F.concat(numerator, F.coalesce(F.concat(F.lit("/"), denominator), F.lit("")))
+
+
 def local_name(qname: Column) -> Column:
     return F.substring_index(F.substring_index(qname, ":", -1), "#", -1)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import md5_slug
@@ -60,6 +61,23 @@ def named_graphs(t: DataFrame) -> DataFrame:
     return t.join(kind, "s", "left").withColumn("g", g).drop("_t")
 
 
+def element_grid(rows: DataFrame, elements: list[str] | None = None, ends: list[str] | None = None, period_type: str | None = None) -> DataFrame:
+    """Rows of consolidated_facts for exact concepts, exact end dates (texts) and instant, annual or quarterly periods; one row per concept and end.
+
+    Of several the shortest span wins by name of its duration type, then measure, then value: nothing depends on row order."""
+    kept = rows
+    if elements is not None:
+        kept = kept.filter(F.col("concept").isin(elements))
+    if ends is not None:
+        kept = kept.filter(F.col("end").isin(ends))
+    if period_type == "instant":
+        kept = kept.filter("period_type = 'instant'")
+    elif period_type in ("annual", "quarterly"):
+        kept = kept.filter(F.col("duration_type") == period_type)
+    order = W.partitionBy("concept", "end").orderBy(F.asc_nulls_last("duration_type"), F.asc_nulls_last("measure"), F.col("value").cast("double"), "name")
+    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
 def natural_key(text: Column) -> Column:
     """A sort key in which runs of digits compare as numbers."""
     padded = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 20, "0")).otherwise(x))

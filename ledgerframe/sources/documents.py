@@ -307,15 +307,42 @@ def other_documents(index: DataFrame, primary: str) -> DataFrame:
 # -- remote listings ----------------------------------------------------------------
 
 
+SUBMISSION = {"accessionNumber": "accession", "form": "form", "filingDate": "filed", "reportDate": "reported", "primaryDocument": "document"}
+
+
+def _submission_rows(docs: DataFrame, cik: Column) -> DataFrame:
+    """One row for each place of the parallel arrays of docs(json), which stand under filings.recent or at the top."""
+    kind = f"struct<{','.join(f'{c}:array<string>' for c in SUBMISSION)}>"
+    lists = F.from_json(F.coalesce(F.get_json_object("json", "$.filings.recent"), F.col("json")), kind)
+    rows = docs.select(cik.alias("cik"), lists.alias("r")).select("cik", F.inline(F.arrays_zip(*[F.col(f"r.{c}") for c in SUBMISSION])))
+    return rows.toDF("cik", *SUBMISSION.values())
+
+
 def submissions(docs: DataFrame, form: str | None = None) -> DataFrame:
     """(cik, accession, form, filed, reported, document) of submission lists(json), whose columns are parallel arrays; newest first."""
-    kind = "struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>,reportDate:array<string>,primaryDocument:array<string>>"
-    recent = F.from_json(F.coalesce(F.get_json_object("json", "$.filings.recent"), F.col("json")), kind)
-    rows = docs.select(F.get_json_object("json", "$.cik").alias("cik"), recent.alias("r")).select("cik", F.inline(F.arrays_zip(*[F.col(f"r.{c}") for c in ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument")])))
-    out = rows.toDF("cik", "accession", "form", "filed", "reported", "document")
+    out = _submission_rows(docs, F.get_json_object("json", "$.cik"))
     return (out.filter(F.col("form") == form) if form else out).orderBy(F.desc("filed"), "accession")
 
 
+def all_submissions(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Every filing of submission lists docs(json) and of their further pages(cik, json) in one table; a filing named twice comes once, as the list itself has it."""
+    rows = _submission_rows(docs, F.get_json_object("json", "$.cik")).withColumn("_part", F.lit(0)).unionByName(_submission_rows(pages, F.col("cik")).withColumn("_part", F.lit(1)))
+    first = W.partitionBy("cik", "accession").orderBy("_part", "filed", "form", "reported", "document")
+    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_part")
+
+
+def company_info(docs: DataFrame) -> DataFrame:
+    """(cik, name, ein, ticker, exchange, sic, state_of_incorporation, fiscal_year_end, entity_type, website, phone) of submission lists(json).
+
+    Missing texts are empty; a missing tax id or website is null, a missing ticker or exchange too."""
+    text = lambda path: F.coalesce(F.get_json_object("json", f"$.{path}"), F.lit(""))
+    known = lambda c: F.nullif(c, F.lit(""))
+    return docs.select(
+        F.get_json_object("json", "$.cik").alias("cik"), text("name").alias("name"), known(text("ein")).alias("ein"), known(text("tickers[0]")).alias("ticker"), known(text("exchanges[0]")).alias("exchange"), text("sic").alias("sic"),
+        text("stateOfIncorporation").alias("state_of_incorporation"), text("fiscalYearEnd").alias("fiscal_year_end"), text("entityType").alias("entity_type"), known(F.coalesce(known(text("website")), text("investorWebsite"))).alias("website"), text("phone").alias("phone"),
+    )
+
+
 def ticker_to_cik(tickers: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(ticker) with cik, ten digits; tickers(ticker, cik) in either case."""
     known = tickers.select(F.upper("ticker").alias("_t"), F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik"))
@@ -328,7 +355,7 @@ def api_filings(docs: DataFrame, today: str) -> DataFrame:
     ent = "array<struct<id:string,attributes:struct<name:string,identifier:string>>>"
     rows = docs.select(F.explode(F.from_json(F.get_json_object("json", "$.data"), row)).alias("r")).select("r.id", "r.attributes.*", F.col("r.relationships.entity.data.id").alias("e"))
     entities = docs.select(F.explode(F.from_json(F.get_json_object("json", "$.included"), ent)).alias("x")).select(F.col("x.id").alias("e"), F.col("x.attributes.name").alias("entity")).distinct()
-    order = W.partitionBy("e").orderBy((F.col("period_end") <= today).desc(), F.desc("period_end"), F.desc("processed"))
+    order = W.partitionBy("e").orderBy((F.col("period_end") <= today).desc(), F.desc("period_end"), F.desc("processed"), "id")
     return rows.join(entities, "e", "left").withColumn("latest", F.row_number().over(order) == 1).drop("e")
 
 
@@ -369,9 +396,11 @@ def root_schemas(schemas: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def rewritten(locations: DataFrame, catalog: DataFrame) -> DataFrame:
-    """locations(location) with `target`: the longest catalog prefix(prefix, replacement) of each replaced."""
-    hit = locations.join(F.broadcast(catalog), F.col("location").startswith(F.col("prefix")), "left")  # a package's catalog: a few rows
-    best = W.partitionBy("location").orderBy(F.length("prefix").desc_nulls_last())
-    return hit.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("location", F.coalesce(F.concat("replacement", F.expr("substring(location, length(prefix) + 1)")), "location").alias("target"))
+    """locations(location), each once, with `target`: the longest catalog prefix(prefix, replacement) replaced, by an equal join on all prefixes of a location."""
+    own = locations.select("location").distinct()
+    starts = own.select("location", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("location"), F.lit(1))), lambda n: F.substring(F.col("location"), F.lit(1), n))).alias("prefix"))
+    best = W.partitionBy("location").orderBy(F.desc(F.length("prefix")), "replacement")
+    hit = starts.join(catalog.select("prefix", "replacement"), "prefix").withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    return own.join(hit, "location", "left").select("location", F.coalesce(F.concat("replacement", F.expr("substring(location, length(prefix) + 1)")), "location").alias("target"))
 
 
