@@ -16,7 +16,7 @@ row of one class: every score is the share of label 1 (0.5 without any). Extra c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,8 @@ DIMENSIONS = 1 << 18
 #: Most rows that the hinge-loss fit sees, and most indicators of all of them; ratios and scores use all rows.
 SAMPLE, SAMPLE_INDICATORS = 8192, 1 << 23
 SMOOTHING, PENALTY, EPOCHS = 1.0, 0.1, 12
-_PIECE = 1 << 20
+#: Bytes of a text that are taken apart at once: numpy arrays of a task stay at a few megabytes, however long the text.
+_PIECE = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -87,16 +88,16 @@ def _features(words: np.ndarray, shapes: np.ndarray, again: np.ndarray, before:
 def indicator_counts(train: DataFrame) -> DataFrame:
     """(feature, n0, n1): training texts of label 0 and 1 that hold the feature, over all rows of train(text, label)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, DIMENSIONS), dtype=np.int64)
         for batch in batches:
-            for label, text in zip(batch["label"], batch["text"], strict=True):
-                sums[int(label)][features(text)] += 1
+            for label, text in zip(batch.column("label"), batch.column("text"), strict=True):  # one text at a time leaves Arrow
+                sums[label.as_py()][features(text.as_py())] += 1
         at = np.flatnonzero(sums.any(axis=0))
-        yield pd.DataFrame({"feature": at.astype(np.int32), "n0": sums[0][at], "n1": sums[1][at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0][at]), pa.array(sums[1][at])], names=["feature", "n0", "n1"])
 
     rows = train.select("text", F.col("label").cast("int").alias("label"))
-    return rows.mapInPandas(run, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return rows.mapInArrow(run, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, penalty: float = PENALTY, epochs: int = EPOCHS) -> np.ndarray:
@@ -127,7 +128,7 @@ def _sample(train: DataFrame) -> pd.DataFrame:
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [features(t).astype(np.int32) for t in batch.column("text").to_pylist()]
+            own = [features(t.as_py()).astype(np.int32) for t in batch.column("text")]
             keys = [batch.column(c) for c in ("h", "t", "label")]
             yield pa.RecordBatch.from_arrays([*keys, pa.array([len(f) for f in own], pa.int64()), pa.array([f.tobytes() for f in own], pa.binary())], names=["h", "t", "label", "n", "at"])
 
@@ -190,17 +191,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(slope, 0.0), offset
 
 
-def score_texts(texts: list[str | None], model: tuple[np.ndarray, float, float]) -> np.ndarray:
+def score_texts(texts: Iterable[str | None], model: tuple[np.ndarray, float, float]) -> np.ndarray:
     weights, slope, offset = model
-    out = np.zeros(len(texts))
-    for i, text in enumerate(texts):
+    out = []
+    for text in texts:
         margin = 0.0
         if weights.ndim == 2:
             at = features(text)
             v = weights[1][at]
             margin = float(weights[0][at] @ v) / max(1e-12, float(np.sqrt(v @ v)))
-        out[i] = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -35, 35)))
-    return out
+        out.append(1 / (1 + np.exp(-np.clip(slope * margin + offset, -35, 35))))
+    return np.array(out, dtype=float)
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float, float], keep_text: bool = True) -> DataFrame:
@@ -212,7 +213,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float, float], keep_text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # the other columns pass through as they are
         for batch in batches:
-            scores = score_texts(batch.column("text").to_pylist(), shared.value)
+            scores = score_texts((x.as_py() for x in batch.column("text")), shared.value)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(scores, pa.float64())], names=[*names, "score"])
 
     return kept.mapInArrow(run, schema)
