@@ -1,4 +1,4 @@
-"""DuckDB SQL of queries_intake, written apart from the operators: it makes the same inputs and states each rule over them."""
+"""DuckDB SQL of queries_intake and of the queries on filing documents, written apart from the operators: it makes the same inputs and states each rule over them."""
 
 from __future__ import annotations
 
@@ -102,4 +102,6 @@ ORACLES: dict[str, str] = {
     "inline_fragments": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_type WHEN p_partkey % 2 = 0 THEN 'http://f/' || p_partkey ELSE p_name END AS value_str FROM part",
     "sgml_headers": f"WITH {_O} SELECT k AS id, 'ACCESSION NUMBER' AS key, CAST(k AS VARCHAR) AS value FROM o UNION ALL SELECT k, 'FORM', p FROM o UNION ALL SELECT k, 'PERIOD', day FROM o",
     "sgml_documents": "SELECT doc_id AS id, 1 AS place, '10-K' AS type, 'a.htm' AS filename, CAST(length(trim(regexp_replace(text, '[<>]', ' ', 'g'), chr(10))) AS INT) AS chars FROM documents WHERE text IS NOT NULL",
+    "html_tables_md": "SELECT o_orderkey AS id, 1 AS place, '| Name | Amount |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderpriority || ' | $' || o_orderkey || ' |' AS markdown FROM orders",
+    "xml_records": "SELECT CAST(n_regionkey AS BIGINT) AS id, CAST(n_regionkey AS VARCHAR) AS region, 'nations' AS list, 'name' AS columns, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name || '<') - 1 AS INT) AS place, n_name AS name FROM nation",
 }

@@ -421,14 +421,18 @@ def html_to_text(spark, sf_dir):
 
 @query
 def html_tables_md(spark, sf_dir):
-    made = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("<table><tr><th>Name</th><th>Amount</th></tr><tr><td>"), "n_name", F.lit("</td><td>$</td><td>5</td></tr></table>")).alias("html"))
+    """A page per order: a layout table of one row, and a data table whose currency sign stands in a cell of its own."""
+    data = F.concat(F.lit("<table><tr><th>Name</th><th>Amount</th></tr><tr><td>"), "o_orderpriority", F.lit("</td><td>$</td><td>"), F.col("o_orderkey").cast("string"), F.lit("</td></tr></table>"))
+    made = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "<table><tr><td>x</td><td>y</td></tr></table><p>z</p>").otherwise(""), data).alias("html"))
     return texts.tables_to_markdown(made)
 
 
 @query
 def xml_records(spark, sf_dir):
     made = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<region><key><value>"), F.col("n_regionkey").cast("string"), F.lit("</value></key><nations>"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<nation><name>"), "n_name", F.lit("</name></nation>")))), ""), F.lit("</nations></region>")).alias("xml"))
-    return documents.xml_records(made.select(F.col("n_regionkey").alias("id"), "xml"))
+    read = documents.xml_records(made.select(F.col("n_regionkey").alias("id"), "xml"))
+    each = read.select("id", F.col("fields")["key"].alias("region"), F.inline("tables")).select("id", "region", F.col("name").alias("list"), F.array_join("columns", ",").alias("columns"), F.posexplode("rows").alias("place", "row"))
+    return each.select("id", "region", "list", "columns", "place", F.col("row")["name"].alias("name"))
 
 
 @query

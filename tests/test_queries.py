@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from ledgerframe.queries_intake import QUERIES as INTAKE
 
-NAMES = [*INTAKE, "sgml_documents", "fact_grid_consolidated", "calculation_rollup", "duplicate_conflicts", "presentation_walk", "graph_edges_fact_period", "section_hits", "period_enrichment", "classify_networks", "role_folds", "roots_except", "parse_titles", "disclosure_families", "group_tree", "check_report_verdict", "duplicate_conflicts_text", "graph_content_text_facts", "item_captions", "graph_pattern_revenue_by_report", "graph_counts", "graph_nodes_fact", "rdf_triples", "rdf_consolidated_facts", "shape_violations", "resolve_concepts", "fact_membership", "hypercube_members"]
+NAMES = [*INTAKE, "sgml_documents", "html_tables_md", "xml_records", "fact_grid_consolidated", "calculation_rollup", "duplicate_conflicts", "presentation_walk", "graph_edges_fact_period", "section_hits", "period_enrichment", "classify_networks", "role_folds", "roots_except", "parse_titles", "disclosure_families", "group_tree", "check_report_verdict", "duplicate_conflicts_text", "graph_content_text_facts", "item_captions", "graph_pattern_revenue_by_report", "graph_counts", "graph_nodes_fact", "rdf_triples", "rdf_consolidated_facts", "shape_violations", "resolve_concepts", "fact_membership", "hypercube_members"]
 
 
 def cell(v):
