@@ -64,7 +64,7 @@ def named_graphs(t: DataFrame) -> DataFrame:
 def element_grid(rows: DataFrame, elements: list[str] | None = None, ends: list[str] | None = None, period_type: str | None = None) -> DataFrame:
     """Rows of consolidated_facts for exact concepts, exact end dates (texts) and instant, annual or quarterly periods; one row per concept and end.
 
-    Of several the shortest span wins by name of its duration type, then measure, then value: nothing depends on row order."""
+    Of several the first by duration type, measure, value and name stays: nothing depends on row order."""
     kept = rows
     if elements is not None:
         kept = kept.filter(F.col("concept").isin(elements))
