@@ -1,9 +1,11 @@
 """License scans by conditional compression.
 
-Candidate blocks are the licensing cues of whole texts with as many words on both sides as the longest notice has. In a block every template is
-looked for by its exact wording: its words must run through the block in order, but for at most `missing` of them, and none of
-the words that tell licenses apart (version numbers, `NC`, `not`, ...) may be among the missing. What is found is compressed alone and
-with the template as a zstandard raw dictionary; it counts where that makes it smaller, and the relative reduction is its gain.
+Candidate blocks are the licensing cues of whole texts with as many words on both sides as the longest notice has. A block is compressed alone and
+with each template as a zstandard raw dictionary, in pieces as long as the template needs; the relative size reduction of the best piece ranks the
+templates, and those without one are out. The others, all of them, are confirmed in this order by their exact wording: the template's words must run
+through the block in order, but for at most `missing` of them, and none of the words that tell licenses apart (version numbers, `NC`, `not`, ...) may
+be among the missing; where the longest common runs do not show it, all alignments are gone through. The relative reduction of the confirmed words
+is a span's gain; of overlapping spans the one that saves more bytes stays.
 
 Positions are code points of the whole text, end exclusive. Null and empty texts: no span. Null doc_id stays null; every row gives one row, repeated
 rows each. Extra columns are ignored. Long blocks are cut at MAX_BLOCK words with REACH words overlapping, so that no text is left out.
@@ -15,6 +17,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -81,8 +84,9 @@ class Templates:
         self.rows, self.sets = [], []
         for name, texts in TEMPLATES.items():
             for text in texts:
-                known = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.rows.append((name, [w.lower() for w in WORD.findall(text)], zstandard.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_dict_id=False)))
+                words = [w.lower() for w in WORD.findall(text)]
+                known = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                self.rows.append((name, words, zstandard.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_dict_id=False)))
                 self.sets.append(set(self.rows[-1][1]))
 
     @classmethod
@@ -107,11 +111,61 @@ def blocks(text: str, spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at, min(b, at + MAX_BLOCK)) for a, b in out for at in range(a, max(a + 1, b - REACH), MAX_BLOCK - REACH)]
 
 
+def longest(template: list[str]) -> int:
+    """Words that a notice of the template's wording may have, at most."""
+    return 3 * len(template) // 2 + 4
+
+
+@lru_cache(1024)
+def size_alone(low: bytes) -> int:
+    """Kept for the templates that share a length, and so the pieces of a block."""
+    return len(Templates.get().plain.compress(low))
+
+
+def sizes(words: list[str], i: int) -> tuple[int, int]:
+    """Compressed bytes of the words, one space between: alone, and with template i as the dictionary."""
+    low = " ".join(words).encode()
+    return size_alone(low), len(Templates.get().rows[i][2].compress(low))
+
+
+def reduction(words: list[str], i: int) -> float:
+    alone, given = sizes(words, i)
+    return (alone - given) / alone
+
+
+def close_pieces(words: list[str], i: int, missing: float = MISSING) -> Iterator[list[str]]:
+    """Every run of words that could be a whole notice of template i: it starts and ends on its words, and has so many of them."""
+    (_, template, _), own = Templates.get().rows[i], Templates.get().sets[i]
+    ends = [j for j, w in enumerate(words) if w in own]
+    for a in ends:
+        for b in ends:
+            if (1 - missing) * len(template) <= b + 1 - a <= longest(template) and len(own.difference(words[a : b + 1])) <= missing * len(template):
+                yield words[a : b + 1]
+
+
+def ranked(words: list[str], missing: float = MISSING) -> list[tuple[float, int]]:
+    """(reduction, template) of a block, best first: the best piece's relative size reduction, for every template that has one.
+
+    In a whole block, what a short notice saves is lost among the rest. So a template's pieces are twice its longest notice, half of it overlapping:
+    each notice lies whole in one. Where no piece gets smaller, the entropy coder may still hide a few bytes, and every run that could be a notice is
+    compressed by itself. So whatever would gain by itself is ranked."""
+    out = []
+    for i, (_, template, _) in enumerate(Templates.get().rows):
+        most = longest(template)
+        pieces = [words[at : at + 2 * most] for at in range(0, max(1, len(words) - most), most)]
+        best = max(reduction(p, i) for p in pieces)
+        if best <= 0:
+            best = next((r for p in pieces for q in close_pieces(p, i, missing) if (r := reduction(q, i)) > 0), best)
+        if best > 0:
+            out.append((best, i))
+    return sorted(out, key=lambda r: (-r[0], r[1]))
+
+
 def confirm(words: list[str], template: list[str], missing: float = MISSING) -> tuple[int, int, list[str]] | None:
     """First and last word of the block that the template's words cover, and the missing words; None if it is not this wording.
 
     The words around a notice are of no weight: only those near its longest run are aligned, and chance hits at the ends are left out."""
-    size, most = len(template), 1.5 * len(template) + 4
+    size, most = len(template), longest(template)
     if sum(w not in words for w in set(template)) > missing * size:
         return None
     run = SequenceMatcher(None, words, template, autojunk=False).find_longest_match()
@@ -134,47 +188,71 @@ def confirm(words: list[str], template: list[str], missing: float = MISSING) ->
     return best and best[1]
 
 
+def aligned(words: list[str], template: list[str], missing: float = MISSING) -> tuple[int, int, list[str]] | None:
+    """confirm() over all alignments, for what the longest runs first do not find: the best notice of this wording in the words, if there is one."""
+    size, most, spare = len(template), longest(template), int(missing * len(template))
+    must = [w in TELLING or w.isdigit() for w in template]
+    places: dict[str, list[int]] = {}
+    for j in reversed(range(size)):
+        places.setdefault(template[j], []).append(j)
+    best = None
+    # By last template word found and number of lost ones: the latest first word, with what was lost; the latest makes the shortest notice.
+    latest: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
+    for p, word in enumerate(words):
+        if word in TELLING and word not in places:
+            latest.clear()
+        for j in places.get(word, ()):  # from the end, so that no word of the block stands for two of the template
+            for skip in range(min(spare, j) + 1):
+                if skip and must[j - skip]:
+                    break
+                gap, last = tuple(range(j - skip, j)), j - skip - 1
+                for lost in range(spare - skip + 1):
+                    old = latest.get((last, lost)) if last >= 0 else None if lost else (p, ())
+                    if old and old[0] > latest.get((j, lost + skip), (-1,))[0]:
+                        latest[j, lost + skip] = old[0], old[1] + gap
+            if any(must[j + 1 :]):
+                continue
+            for lost in range(spare - (size - 1 - j) + 1):
+                first, gone = latest.get((j, lost), (-1, ()))
+                rank = (2 * (size - lost - (size - 1 - j)) - (p + 1 - first), -first)
+                if first >= 0 and p + 1 - first <= most and (not best or rank > best[0]):
+                    best = rank, (first, p + 1, [template[i] for i in (*gone, *range(j + 1, size))])
+    return best and best[1]
+
+
 def confirm_all(words: list[str], template: list[str], missing: float = MISSING) -> list[tuple[int, int, list[str]]]:
-    """confirm() again and again on the words that are left on both sides of each hit, or of a longest run that is not this wording."""
+    """confirm(), or else aligned(), again and again on the words that are left on both sides of each hit."""
     out, open_parts = [], [(0, len(words))]
     while open_parts:
         a, b = open_parts.pop()
         part = words[a:b]
         if b - a < (1 - missing) * len(template) or sum(w not in part for w in set(template)) > missing * len(template):
             continue
-        hit = confirm(part, template, missing)
+        hit = confirm(part, template, missing) or aligned(part, template, missing)
         if hit:
-            out.append((a + hit[0], a + hit[1], hit[2]))
-            first, last = hit[:2]
-        else:
-            run = SequenceMatcher(None, part, template, autojunk=False).find_longest_match()
-            first, last = run.a, run.a + run.size
-        open_parts += [(a, a + first), (a + last, b)]
+            first, last, lost = hit
+            out.append((a + first, a + last, lost))
+            open_parts += [(a, a + first), (a + last, b)]
     return out
 
 
 def find(text: str | None, missing: float = MISSING) -> list[tuple[int, int, str, float, int]]:
-    """(start, end, license, gain, missing words) of a whole text; of overlapping spans the one of more template words stays."""
+    """(start, end, license, gain, missing words) of a whole text; of overlapping spans the one that saves more bytes stays."""
     if not text or not CUE.search(text):
         return []
     known, found = Templates.get(), []
     spots = [m.span() for m in WORD.finditer(text)]
     for a, b in blocks(text, spots):
         words = [text[x:y].lower() for x, y in spots[a:b]]
-        there = set(words)
-        for i, (name, template, own) in enumerate(known.rows):
-            if len(known.sets[i] - there) > missing * len(template):
-                continue
+        for _, i in ranked(words, missing):
+            name, template, _ = known.rows[i]
             for first, last, lost in confirm_all(words, template, missing):
-                # The gain is that of the notice's own text: in a long block, what a short notice saves is lost among the rest.
-                start, end = spots[a + first][0], spots[a + last - 1][1]
-                low = text[start:end].lower().encode("utf-8", "replace")
-                alone = len(known.plain.compress(low))
-                gain = (alone - len(own.compress(low))) / alone
-                if gain > 0:
-                    found.append((start, end, name, round(gain, 4), len(lost), len(template)))
+                # The gain is that of the notice's own words: in a long block, what a short notice saves is lost among the rest.
+                alone, given = sizes(words[first:last], i)
+                if given < alone:
+                    found.append((spots[a + first][0], spots[a + last - 1][1], name, round((alone - given) / alone, 4), len(lost), alone - given))
     out: list[tuple] = []
-    for s in sorted(set(found), key=lambda s: (-(s[5] - s[4]), s[4], s[0], s[2], -s[3])):
+    for s in sorted(set(found), key=lambda s: (-s[5], s[4], s[0], s[2], -s[3])):
         if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
             out.append(s)
     return [s[:5] for s in sorted(out)]
